@@ -8,7 +8,7 @@ MIXING = rf"""
 with sized as (select doc_id, text, source, {_WORDS} as size from documents),
 named as (select source, sum(size)::DECIMAL(38,0) as s from sized group by source),
 weighed as (
-  select source, s, 3 * s as bound, ([5, 2, 1])[((row_number() over (order by source collate binary asc nulls last) - 1) % 3) + 1] as w,
+  select source, s, 3 * s as bound, ([5, 2, 1])[((row_number() over (order by source nulls last) - 1) % 3) + 1] as w,
          sum(s) over () as total
   from named),
 ordered as (
