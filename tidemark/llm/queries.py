@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, mixing, quality
+from tidemark.llm import bpe, langid, mixing, pii, quality, secret_scan
 from tidemark.llm.shared import id_crc32, read_documents
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +19,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text", "source")
+    return secret_scan.scan_documents(docs).withColumnRenamed("id", "doc_id")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text", "source")
     mixed = mixing.with_copies(docs)
@@ -26,6 +31,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def op8_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.sanitise_spans(docs)
+    return found.select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", pii.sha256_hex("base").alias("base_sha256"), "spans", "added")
+
+
 def op9_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text", "lang")
     held_out = id_crc32("doc_id") % 4 == 2
@@ -41,4 +52,4 @@ def op10_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_source_mixing, op9_rank_order_langid, op10_perplexity_rules)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_secret_ownership, op4_source_mixing, op8_disclosure_pii, op9_rank_order_langid, op10_perplexity_rules)}
