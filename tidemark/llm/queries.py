@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, mixing, pii, quality, secret_scan
+from tidemark.llm import bpe, langid, mixing, pii, quality, secret_scan, token_files, topk
 from tidemark.llm.shared import id_crc32, read_documents
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+WORD_TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,17 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def op6_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path(WORD_TOKENIZER), encoding="utf-8") as f:
+        definition = f.read()
+    return token_files.token_file_digests(read_documents(spark, sf_dir).select("doc_id", "text"), definition, end_id=END_ID)
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return topk.search(vectors, vectors.where("id % 50 = 0"))
+
+
 def op8_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
     found = pii.sanitise_spans(docs)
@@ -52,4 +64,4 @@ def op10_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_secret_ownership, op4_source_mixing, op8_disclosure_pii, op9_rank_order_langid, op10_perplexity_rules)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_secret_ownership, op4_source_mixing, op6_huffman_token_files, op7_exact_topk, op8_disclosure_pii, op9_rank_order_langid, op10_perplexity_rules)}
