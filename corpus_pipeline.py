@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, mixing, quality
+from tidemark.llm import bpe, mixing, near_dup, quality, secret_scan
 from tidemark.llm.shared import write_table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,16 @@ def reject_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return quality.keep_documents(docs)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near_dup.keep_one(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret's text replaced and ``n_chars`` counted anew."""
+    return secret_scan.redact_documents(docs)
+
+
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to their source's target; a document's copies are repeated rows."""
     return mixing.mix_documents(docs)
@@ -33,6 +43,8 @@ def encode_to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality rules", reject_by_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("secret scans", redact_secrets),
     ("mixing sources to target weights", mix_to_targets),
     ("byte-level BPE encoding and decoding", encode_to_ids),
 ]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, mixing, pii, quality, secret_scan, token_files, topk
+from tidemark.llm import bpe, langid, mixing, near_dup, pii, quality, secret_scan, token_files, topk
 from tidemark.llm.shared import id_crc32, read_documents
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,11 @@ def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(docs).withColumnRenamed("id", "doc_id")
 
 
+def op3_bagminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_dup.duplicate_classes(read_documents(spark, sf_dir).select("doc_id", "text"))
+    return classes.select(F.col("id").alias("doc_id"), "class_id")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text", "source")
     mixed = mixing.with_copies(docs)
@@ -64,4 +69,4 @@ def op10_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_secret_ownership, op4_source_mixing, op6_huffman_token_files, op7_exact_topk, op8_disclosure_pii, op9_rank_order_langid, op10_perplexity_rules)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_secret_ownership, op3_bagminhash_near_dup, op4_source_mixing, op6_huffman_token_files, op7_exact_topk, op8_disclosure_pii, op9_rank_order_langid, op10_perplexity_rules)}
