@@ -11,6 +11,7 @@ Spark reaches can hold them.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -162,45 +163,100 @@ def read_image(coder: Coder, image: bytes) -> tuple[list[int | None], list[np.nd
 # -- tokens -----------------------------------------------------------------------------------
 
 
+def id_type(size: int) -> str:
+    """How ids below ``size`` are held before they are coded."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that drops white space: blanks part the text, each word is encoded once."""
+    """Ids of whole texts by a tokenizer that folds case, drops white space and marks the ends of words.
+
+    Blanks part the text, and each part is encoded once and kept. A new part
+    of letters, with or without ASCII signs behind, is looked up and kept by
+    its lower-case letters and its signs; letters not met before are encoded
+    together, as words of one text. All other parts are encoded one by one.
+    """
+
+    LETTERS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, held_as: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer, self.type = Tokenizer.from_str(definition), held_as
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, text: str) -> bytes:
-        words, known = text.replace("\n", " ").split(" "), self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if not new:
-            return b"".join([known[w] for w in words])
-        got = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        out = b"".join([got[w] if w in got else known[w] for w in words])
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters: each ends with the one token that says so."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.type)
+        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(stops) != len(words):
+            return {w: self._ids(w) for w in words}
+        data, size = ids.tobytes(), ids.itemsize
+        return {w: data[a * size : b * size] for w, a, b in zip(words, [0, *stops], stops, strict=False)}
+
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        known, found, open_ = self.known, {}, {}
+        for part in parts:
+            m = self.LETTERS.fullmatch(part)
+            # Lower case is sure to be the tokenizer's own where it is one letter for one.
+            if m and m[1].isalpha() and (m[1].isascii() or max(m[1]) <= "\xff"):
+                low, tail = m[1].lower(), known.get(m[2])
+                if tail is None:
+                    tail = known[m[2]] = self._ids(m[2])
+                ids = known.get(low)
+                if ids is None:
+                    open_[part] = low, tail
+                else:
+                    found[part] = ids + tail
+            else:
+                found[part] = self._ids(part)
+        if open_:
+            new = self._letters(list(dict.fromkeys(low for low, _ in open_.values())))
+            found.update((part, new[low] + tail) for part, (low, tail) in open_.items())
+            found.update(new)
         if len(known) < CACHE_WORDS:
-            known.update((w, x) for w, x in got.items() if len(w) <= CACHE_CHARS)
-        return out
+            known.update((w, x) for w, x in found.items() if len(w) <= CACHE_CHARS)
+        return found
+
+    def encode(self, text: str) -> bytes:
+        words = text.replace("\n", " ").split(" ")
+        parts = list(map(self.known.get, words))
+        if None in parts:
+            new = [k for k, x in enumerate(parts) if x is None]
+            found = self._learn({words[k] for k in new})
+            for k in new:
+                parts[k] = found[words[k]]
+        return b"".join(parts)
 
 
 _tokenizers: dict[int, WordTokenizer] = {}
 
 
-def _tokenizer(definition: str) -> WordTokenizer:
-    key = zlib.crc32(definition.encode())
+def _tokenizer(definition: str, held_as: str) -> WordTokenizer:
+    key = zlib.crc32((held_as + definition).encode())
     if key not in _tokenizers:
         _tokenizers.clear()
-        _tokenizers[key] = WordTokenizer(definition)
+        _tokenizers[key] = WordTokenizer(definition, held_as)
     return _tokenizers[key]
 
 
+def vocabulary(definition: str, end_id: int) -> int:
+    return max(Tokenizer.from_str(definition).get_vocab_size(), end_id + 1)
+
+
 def tokenise(docs: DataFrame, definition: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, tie, ids): ids as little-endian unsigned 32-bit integers with the end id, tie their crc32."""
+    """Rows (doc_id, tie, ids): ids of ``id_type`` with the end id, tie their crc32."""
     sent = docs.sparkSession.sparkContext.broadcast(definition)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    end = np.array([end_id], "<u4").tobytes()
+    held_as = id_type(vocabulary(definition, end_id))
+    end = np.array([end_id], held_as).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(sent.value)
+        tokenizer = _tokenizer(sent.value, held_as)
         for batch in batches:
             ids = [tokenizer.encode(t) + end for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "tie": pa.array(map(zlib.crc32, ids), pa.int64()), "ids": pa.array(ids, pa.binary())})
@@ -214,7 +270,7 @@ def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            counts += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4"), minlength=size)
+            counts += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), id_type(size)), minlength=size)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int64()), "n": pa.array(counts[used])})
 
@@ -253,7 +309,7 @@ def write_files(tokens: DataFrame, size: int, path: str) -> None:
 
         for batch in batches:
             for i, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                x = np.frombuffer(x, "<u4")
+                x = np.frombuffer(x, id_type(size))
                 doc_ids.append(i)
                 ids.append(x)
                 held += len(x)
@@ -315,8 +371,7 @@ def token_file_digests(docs: DataFrame, definition: str, *, end_id: int, path: s
     are made once and kept in the shared folder for the two passes that
     counting and coding take.
     """
-    size = Tokenizer.from_str(definition).get_vocab_size()
     tokens = write_table(tokenise(docs, definition, end_id=end_id, **columns), "tokens")
     path = path or f"{shared_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
-    write_files(tokens, max(size, end_id + 1), path)
+    write_files(tokens, vocabulary(definition, end_id), path)
     return read_files(docs.sparkSession, path).drop("ids")
