@@ -1,5 +1,6 @@
-"""Registry of the ledger and key-value queries and their DuckDB oracles."""
+"""All ledger and key-value queries and their DuckDB oracles."""
 
-FLAGSHIP = "balances"
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidemark.plans import billing, codecs, kv, streams, transactions, vectors  # noqa: F401
+from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
+
+FLAGSHIP = "bill_balance"
