@@ -20,10 +20,10 @@ from tidemark.llm.shared import write_table
 
 #: Vectors of a block of the index, and queries scored together in one task.
 BLOCK_ROWS, QUERY_ROWS = 8192, 1024
-#: Levels of impact that a query passes through.
-LEVELS = (0.5, 0.3, 0.2, 0.14, 0.1, 0.07, 0.045, 0.025, 0.01, 0.0)
-#: Least share of a block that must be ruled out before the rest is scored exactly.
-FEW = 64
+#: Levels of impact that a query passes through, and queries whose segments are added together.
+LEVELS, GROUP = (0.3, 0.1, 0.03, 0.0), 64
+#: Possible members up to which a query stops adding and scores them exactly.
+FEW = 512
 #: Components beyond this could make a score that a long cannot hold.
 LARGEST = 1 << 27
 
@@ -103,68 +103,79 @@ class Block:
         self.postings = np.frombuffer(postings, "<u2").reshape(dims, n)
         self.sorted = np.take_along_axis(self.x.T, self.postings.astype(np.int64), axis=1)
 
-    def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the query's best k rows of this block, its own row left out; ties to smaller ids.
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of each query's best k rows of this block, its own row left out; ties to smaller ids."""
+        found = []
+        for at in range(0, len(queries), GROUP):
+            found += self._top(query_ids[at : at + GROUP], queries[at : at + GROUP], k)
+        return found
+
+    def _top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """A group of queries, whose segments of one impact level are added together.
 
         A dimension's contribution is split into its least value in the
         block, which all rows get, and a rest of at least zero. ``partial``
         holds the rests added so far and ``remaining`` bounds what any row
         can still get; so a row whose partial sum and ``remaining`` stay
-        below the k-th partial sum is no member: that is the proof.
+        below the k-th partial sum is no member: that is the proof. Segments
+        are entered from the large values down by positive weights and from
+        the small ones up by negative ones.
         """
-        dims = min(len(q), self.dims)
-        q = q[:dims]
+        dims, n = min(queries.shape[1], self.dims), self.n
+        q = queries[:, :dims]
         low, high = self.sorted[:dims, 0], self.sorted[:dims, -1]
-        span = np.abs(q) * (high - low)
-        partial = np.zeros(self.n, np.int64)
-        active = np.flatnonzero(span)
-        largest = int(span.max()) if len(active) else 0
-        done = np.zeros(dims, np.int64)
-        remaining = int(span.sum())
-        own = np.flatnonzero(self.ids == query_id)
-        members = np.arange(self.n)
+        largest = (np.abs(q) * (high - low)).max(axis=1, initial=0)
+        small = int((np.abs(q) * (high - low)).sum(axis=1).max(initial=0)) < 1 << 31
+        kind = np.int32 if small else np.int64
+        partial = np.zeros((n, len(q)), kind)
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        taken = {True: np.zeros(dims, np.int64), False: np.zeros(dims, np.int64)}
+        own = np.array([[row, j] for j, i in enumerate(query_ids) for row in np.flatnonzero(self.ids == i)], np.int64).reshape(-1, 2)
+        members = [np.arange(n)] * len(q)
         for level in LEVELS:
             cut = level * largest  # segments of at least this impact come next
-            remaining = 0
-            for d in active:
-                weight, values, order = int(q[d]), self.sorted[d], self.postings[d]
-                start = int(done[d])
-                if start == self.n:
-                    continue
-                if weight > 0:  # from the large values down
-                    least = low[d] + cut / weight
-                    stop = self.n - int(np.searchsorted(values[: self.n - start], least, "left"))
-                    if stop > start:
-                        part = slice(self.n - stop, self.n - start)
-                        partial[order[part]] += weight * (values[part] - low[d])
-                    if stop < self.n:
-                        remaining += weight * int(values[self.n - stop - 1] - low[d])
-                else:  # from the small values up
-                    most = high[d] + cut / weight
-                    stop = start + int(np.searchsorted(values[start:], most, "right"))
-                    if stop > start:
+            remaining = np.zeros(len(q), np.int64)
+            for d in range(dims):
+                values, order = self.sorted[d], self.postings[d]
+                for rising, weights in ((True, up[:, d]), (False, down[:, d])):
+                    some = weights != 0
+                    if not some.any() or low[d] == high[d]:
+                        continue
+                    start = int(taken[rising][d])
+                    if rising:
+                        least = low[d] + (cut[some] / weights[some]).min()
+                        stop = max(start, n - int(np.searchsorted(values, least, "left")))
+                        part = slice(n - stop, n - start)
+                        rest = values[part] - low[d]
+                        left = int(values[n - stop - 1] - low[d]) if stop < n else 0
+                    else:
+                        most = high[d] + (cut[some] / weights[some]).max()
+                        stop = max(start, int(np.searchsorted(values, most, "right")))
                         part = slice(start, stop)
-                        partial[order[part]] += weight * (values[part] - high[d])
-                    if stop < self.n:
-                        remaining += weight * int(values[stop] - high[d])
-                done[d] = stop
-            others = self.n - len(own)
-            if others <= k:
+                        rest = values[part] - high[d]
+                        left = int(values[stop] - high[d]) if stop < n else 0
+                    if stop > start:
+                        partial[order[part]] += rest.astype(kind)[:, None] * weights.astype(kind)
+                    remaining += weights * left
+                    taken[rising][d] = stop
+            if n - 1 <= k:
                 break
+            seen = partial
             if len(own):
                 seen = partial.copy()
-                seen[own] = -1
-            else:
-                seen = partial
-            best = int(np.partition(seen, self.n - k)[self.n - k])
-            members = np.flatnonzero(seen + remaining >= best)
-            if len(members) <= FEW or remaining == 0:
+                seen[own[:, 0], own[:, 1]] = -1
+            best = np.partition(seen, n - k, axis=0)[n - k]
+            possible = seen + remaining >= best
+            members = [np.flatnonzero(possible[:, j]) for j in range(len(q))]
+            if max(map(len, members)) <= FEW or not remaining.any():
                 break
+        return [self._exact(int(i), v, m, k) for i, v, m in zip(query_ids, q, members, strict=True)]
+
+    def _exact(self, query_id: int, q: np.ndarray, members: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         members = members[self.ids[members] != query_id]
-        scores = self.x[members, :dims] @ q
+        scores = self.x[members, : len(q)] @ q
         if len(members) > k:
-            least = np.partition(scores, len(scores) - k)[len(scores) - k]
-            near = scores >= least
+            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
             members, scores = members[near], scores[near]
         best = np.lexsort((self.ids[members], -scores))[:k]
         return self.ids[members[best]], scores[best]
@@ -197,7 +208,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5) -> DataFrame:
                 block = Block(row["n"], row["dims"], row["ids"], row["matrix"], row["postings"])
                 ids = np.frombuffer(row["q_ids"], "<i8")
                 q = np.frombuffer(row["q_matrix"], "<i4").reshape(row["q_n"], row["q_dims"]).astype(np.int64)
-                got = [block.top(int(i), v, k) for i, v in zip(ids, q, strict=True)]
+                got = block.top(ids, q, k)
                 if got:
                     yield pa.RecordBatch.from_pydict(
                         {
