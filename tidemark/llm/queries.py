@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, mixing, near_dup, pii, quality, secret_scan, token_files, topk
+from tidemark.llm import bpe, langid, mixing, near_dup, pii, quality, secret_scan, token_files, topk, toxicity
 from tidemark.llm.shared import id_crc32, read_documents
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -37,6 +37,13 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def op5_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    held_out = id_crc32("doc_id") % 3 == 1
+    return toxicity.score_documents(docs, labels.where(~held_out), held_out=held_out)
+
+
 def op6_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path(WORD_TOKENIZER), encoding="utf-8") as f:
         definition = f.read()
@@ -69,4 +76,4 @@ def op10_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_secret_ownership, op3_bagminhash_near_dup, op4_source_mixing, op6_huffman_token_files, op7_exact_topk, op8_disclosure_pii, op9_rank_order_langid, op10_perplexity_rules)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_secret_ownership, op3_bagminhash_near_dup, op4_source_mixing, op5_gru_toxicity, op6_huffman_token_files, op7_exact_topk, op8_disclosure_pii, op9_rank_order_langid, op10_perplexity_rules)}

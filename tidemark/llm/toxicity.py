@@ -9,6 +9,7 @@ the text's score is that of its highest window.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,9 +25,9 @@ WINDOW, STRIDE = 64, 48
 #: Sizes: states of a direction, word and character embeddings, buckets of n-grams (3 and 4 letters).
 STATES, WORD_DIMS, CHAR_DIMS, BUCKETS = 12, 12, 16, 1 << 14
 #: Bounds of the training sample: labelled documents of each class, and windows of one document.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 3
+SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 6
 #: Occurrences in the sample from which a word has an embedding of its own; training steps and windows of a step.
-KNOWN_FROM, STEPS, BATCH = 5, 420, 192
+KNOWN_FROM, STEPS, BATCH = 5, 300, 144
 #: Words whose projections a worker keeps, and windows scored at a time.
 CACHE_WORDS, SCORE_WINDOWS = 250_000, 1024
 
@@ -177,12 +178,16 @@ class _Words:
         return self.grams[np.repeat(self.first[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]))], sizes
 
 
-def train(windows: list[list[str]], bags: list[int], labels: list[int], seed: int = 7) -> Network | None:
+def train(windows: list[list[str]], bags: list[int], labels: list[int], *, odds: float = 0.5, seed: int = 7) -> Network | None:
     """A network fitted to windows of words; those of one bag are of one document and share its label.
 
-    A toxic document need not be toxic in every window: after a first third
-    of the steps only its highest window counts. Adam, balanced batches, a
-    fixed number of steps and a fixed seed. None without both labels.
+    A toxic document need not be toxic in every window: after a first sixth
+    of the steps only its highest window counts. A third of a batch are such
+    windows, a third are clean windows that score highest, a third any clean
+    ones. As such batches hold more toxic ones than the corpus, whose ``odds``
+    of a toxic label are given, the bias is set back by the logarithm of the
+    ratio. Adam, a fixed number of steps and a fixed seed. None without both
+    labels.
     """
     bags_, y = np.array(bags), np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
@@ -209,15 +214,24 @@ def train(windows: list[list[str]], bags: list[int], labels: list[int], seed: in
         return raw @ net.p["w"] + net.p["b"], at.reshape(rows.shape), (raw, mine, grams, sizes)
 
     clean, toxic = np.flatnonzero(y == 0), np.flatnonzero(y == 1)
+    def logits_of(rows: np.ndarray) -> np.ndarray:
+        out = []
+        for k in range(0, len(rows), SCORE_WINDOWS):
+            part = rows[k : k + SCORE_WINDOWS]
+            x, at, _ = project(ids[part], False)
+            out.append(net.forward(x, at, lengths[part])[0])
+        return np.concatenate(out)
+
+    every = {label: np.flatnonzero(y == label) for label in (0, 1)}
+    hard = clean
     for step in range(1, STEPS + 1):
-        if step in (STEPS // 3, 2 * STEPS // 3):  # the highest window of each toxic document
-            all_toxic = np.flatnonzero(y == 1)
-            x, at, _ = project(ids[all_toxic], False)
-            logits = net.forward(x, at, lengths[all_toxic])[0]
-            order = np.lexsort((-logits, bags_[all_toxic]))
-            first = np.concatenate([[True], np.diff(bags_[all_toxic][order]) != 0])
-            toxic = all_toxic[order[first]]
-        pick = np.concatenate([rng.choice(clean, BATCH // 2), rng.choice(toxic, BATCH // 2)])
+        if step > 1 and step % (STEPS // 6) == 1:
+            logits = logits_of(every[1])  # the highest window of each toxic document
+            order = np.lexsort((-logits, bags_[every[1]]))
+            toxic = every[1][order[np.concatenate([[True], np.diff(bags_[every[1]][order]) != 0])]]
+            hard = every[0][np.argsort(-logits_of(every[0]))[: max(BATCH, len(every[0]) // 20)]]  # and the highest of all clean ones
+        third = BATCH // 3
+        pick = np.concatenate([rng.choice(clean, BATCH - 2 * third), rng.choice(hard, third), rng.choice(toxic, third)])
         x, at, (raw, mine, grams, sizes) = project(ids[pick], True)
         logits, cache = net.forward(x, at, lengths[pick], keep=True)
         dlogits = ((_sigmoid(logits) - y[pick]) / len(pick)).astype(np.float32)
@@ -232,6 +246,7 @@ def train(windows: list[list[str]], bags: list[int], labels: list[int], seed: in
             m += 0.1 * (g[k] - m)
             q += 0.001 * (g[k] * g[k] - q)
             v -= rate * ((m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.999**step)) + 1e-8) + (1e-3 * v if k in ("words", "chars", "out") else 0))
+    net.p["bias"] -= np.float32(max(0.0, np.log(0.5 / odds)))
     return net
 
 
@@ -261,12 +276,12 @@ class Scorer:
             self.rows, self.table = {}, np.zeros((0, 6 * STATES), np.float32)
         out = np.zeros(len(texts))
         held, owner, held_n = [], [], 0
-        for k, text in enumerate(texts):
-            words = clean_words(text)
+        split = [clean_words(t) for t in texts]
+        if new := [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.rows]:
+            self._learn(new)
+        for k, words in enumerate(split):
             if not words:
                 continue
-            if new := [w for w in dict.fromkeys(words) if w not in self.rows]:
-                self._learn(new)
             rows = np.array([self.rows[w] for w in words], np.int64)
             for s in _starts(len(rows)):
                 held.append(rows[s : s + WINDOW])
@@ -295,8 +310,8 @@ def clean_words(text: str) -> list[str]:
     return text.lower().split()
 
 
-def training_windows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """Rows (id, label, number, words): evenly spread windows of a bounded sample of labelled documents.
+def training_windows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, float]:
+    """Rows (id, label, number, words), and the odds of a toxic label: evenly spread windows of a bounded sample of labelled documents.
 
     Of each class some ``SAMPLE_DOCS`` documents are drawn by a hash of their
     id. The sampled ids are broadcast; that they are few is a matter of
@@ -325,7 +340,20 @@ def training_windows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_co
                 [pa.array(out["id"], batch.schema.field("id").type), pa.array(out["label"], pa.int32()), pa.array(out["number"], pa.int32()), pa.array(out["words"], pa.list_(pa.string()))], names=list(out)
             )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, label int, number int, words array<string>")
+    found = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, label int, number int, words array<string>")
+    return found, max(1, n.get(1, 0)) / max(1, n.get(0, 0))
+
+
+def _fitted(windows: DataFrame, odds: float) -> Network | None:
+    """The network of a bounded sample, trained in one task: there numpy keeps to the task's cores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted({(str(r["id"]), r["number"], r["label"], tuple(r["words"])) for batch in batches for r in batch.to_pylist()})
+        bag = {i: k for k, i in enumerate(dict.fromkeys(r[0] for r in rows))}
+        net = train([list(r[3]) for r in rows], [bag[r[0]] for r in rows], [r[2] for r in rows], odds=odds)
+        yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps(net)], pa.binary())})
+
+    return pickle.loads(windows.repartition(1).mapInArrow(run, "net binary").head()["net"])
 
 
 def score_documents(
@@ -338,10 +366,8 @@ def score_documents(
     that are null or neither 0 nor 1 are left out; of contrary labels of one
     id the higher counts. Texts are scored where they are read, whole.
     """
-    sample = training_windows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col).distinct().collect()
-    sample.sort(key=lambda r: (str(r["id"]), r["number"], r["words"]))
-    bag = {i: k for k, i in enumerate(dict.fromkeys(r["id"] for r in sample))}
-    net = train([r["words"] for r in sample], [bag[r["id"]] for r in sample], [r["label"] for r in sample])
+    windows, odds = training_windows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
+    net = _fitted(windows, odds)
     sent = docs.sparkSession.sparkContext.broadcast(net)
     rows = docs.select(docs[id_col].alias("id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), whole_text(text_col).alias("text"))
 
@@ -349,7 +375,7 @@ def score_documents(
         scorer = Scorer(sent.value) if sent.value else None
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            scores = [x for k in range(0, len(texts), 500) for x in scorer.scores(texts[k : k + 500])] if scorer else [0.0] * len(texts)
+            scores = [x for k in range(0, len(texts), 200) for x in scorer.scores(texts[k : k + 200])] if scorer else [0.0] * len(texts)
             predicted = pa.array([int(x >= threshold) for x in scores], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(scores, pa.float64()), predicted], names=[id_col, "held_out", "score", "predicted"])
 
