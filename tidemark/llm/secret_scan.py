@@ -84,7 +84,8 @@ def find_candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Rows (id, owner, repo, digest, carried, base, wider), one for each row of ``docs``.
 
     ``base`` and ``wider`` are arrays of (start, rank, end, kind, hash) by
-    start and then kind; a wider match that overlaps a base span is left out.
+    start and then kind; a wider match that overlaps a base span, or one of a kind
+    listed before its own, is left out.
     ``digest`` tells rows of equal ids with different texts apart. Without
     ``repo_col`` each document counts as a repository.
     """
@@ -98,7 +99,8 @@ def find_candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     base = F.array_sort(F.concat(*(_tagged(name, k) for k, (name, _, _) in enumerate(BASE))))
     wider = F.array_sort(F.concat(*(_tagged(name, k) for k, (name, _, _) in enumerate(WIDER, len(BASE)))))
     rows = rows.withColumn("base", base).withColumn("wider", wider)
-    apart = F.filter("wider", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    meets = lambda w, b: (b["start"] < w["end"]) & (w["start"] < b["end"])
+    apart = F.filter("wider", lambda w: ~F.exists("base", lambda b: meets(w, b)) & ~F.exists("wider", lambda b: (b["rank"] < w["rank"]) & meets(w, b)))
     return rows.select("id", "owner", "repo", F.xxhash64("text").alias("digest"), "carried", "base", apart.alias("wider"))
 
 
