@@ -1,14 +1,15 @@
-"""Engine: the key-value interface over a versioned changelog."""
+"""Engine: the key-value interface over a versioned changelog, and the vector table."""
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.errors import InvalidArgument, KeyNotFound
-from tidemark.operators import maintenance, state
+from tidemark.operators import maintenance, state, vectors
 from tidemark.sources.table_store import TableStore
 
 CHANGELOG = "seq long, op_idx int, key binary, op string, value binary"
@@ -108,3 +109,41 @@ class Engine:
 
     def snapshot(self, path: str) -> dict:
         return self.table.snapshot(path)
+
+
+VECTORS = "seq long, id string, op string, values array<double>, metadata string"
+
+
+class VectorTable:
+    """Vectors with metadata (JSON text): add, get, delete."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.table = TableStore(spark, path, VECTORS)
+
+    def _append(self, vector_id: str, op: str, values: list[float] | None, metadata: str | None) -> None:
+        base = self.table.version()
+        rows = self.spark.createDataFrame([(base + 1, vector_id, op, values, metadata)], VECTORS).coalesce(1)
+        self.table.commit(base, [*self.table.manifest(base)["parts"], self.table.stage(rows)])
+
+    def add(self, values: list[float], metadata: str | None = None) -> str:
+        """Store a copy of a vector under a fresh id."""
+        vector_id = str(uuid.uuid4())
+        self._append(vector_id, "add", [float(x) for x in values], metadata)
+        return vector_id
+
+    def load(self, rows: DataFrame) -> int:
+        """Add the rows (values, metadata) of a DataFrame in one version; ids are drawn once and stored."""
+        base = self.table.version()
+        drawn = rows.select(F.lit(base + 1).cast("long").alias("seq"), F.expr("uuid()").alias("id"), F.lit("add").alias("op"), F.col("values").cast("array<double>").alias("values"), "metadata")
+        return self.table.commit(base, [*self.table.manifest(base)["parts"], self.table.stage(drawn)])
+
+    def live(self) -> DataFrame:
+        return vectors.live_vectors(self.table.read()).select("id", "values", "metadata")
+
+    def get(self, vector_id: str):
+        return vectors.get_vector_row(self.live(), vector_id)
+
+    def delete(self, vector_id: str) -> None:
+        self.get(vector_id)
+        self._append(vector_id, "delete", None, None)

@@ -102,18 +102,21 @@ def booked_ledger(bookings: DataFrame, *, allow_overdraft: bool = False) -> Data
     account is a fold in order. Rows stream through a task in sorted order,
     with the state of one account at a time: memory does not grow with an
     account, and a hot one costs time in one task but nothing else. Events
-    that are not booked keep the balance and stand outside the chain.
+    that are not booked keep the balance and stand outside the chain. With a
+    column ``last_hash``, the chain goes on from there.
     """
-    columns = ("event_id", *ACCOUNT, "ts_nanos", "units", "price", "cost", "credit")
+    columns = ("event_id", *ACCOUNT, "ts_nanos", "units", "price", "cost", "credit", "last_hash")
+    if "last_hash" not in bookings.columns:
+        bookings = bookings.withColumn("last_hash", F.lit(""))
     rows = bookings.select(*columns).repartition(*ACCOUNT).sortWithinPartitions(*ACCOUNT, *ORDER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         account, balance, last = None, 0, ""
         for batch in batches:
             out = []
-            for e, t, a, ns, units, price, cost, credit in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            for e, t, a, ns, units, price, cost, credit, before in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if (t, a) != account:
-                    account, balance, last = (t, a), credit, ""
+                    account, balance, last = (t, a), credit, before
                 if cost <= balance or allow_overdraft:
                     balance -= cost
                     h = hashlib.sha256(chain_input(e, t, a, ns, units, price, cost, last).encode()).hexdigest()
@@ -127,9 +130,9 @@ def booked_ledger(bookings: DataFrame, *, allow_overdraft: bool = False) -> Data
     return rows.mapInArrow(run, _BOOKED)
 
 
-def verify_chain(ledger: DataFrame) -> DataFrame:
+def verify_chain(ledger: DataFrame, *, order: tuple[str, ...] = ORDER) -> DataFrame:
     """Rows (event_id, linked, sealed) of booked events: does the link hold, does the hash match its fields?"""
-    w = Window.partitionBy(*ACCOUNT).orderBy(*ORDER)
+    w = Window.partitionBy(*ACCOUNT).orderBy(*order)
     seal = F.sha2(F.concat_ws("|", "event_id", "tenant", "account_id", "ts_nanos", "units", "price", "cost", "prev_hash"), 256)
     booked = ledger.where("booked")
     return booked.select("event_id", (F.col("prev_hash") == F.coalesce(F.lag("hash").over(w), F.lit(""))).alias("linked"), (seal == F.col("hash")).alias("sealed"))
