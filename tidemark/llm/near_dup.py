@@ -90,6 +90,14 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     doc, seed, weight, low, width = (np.concatenate(x) for x in zip(*parts, strict=True))
     first = np.full(len(bags) * PLACES, np.inf)
     owner = np.zeros(len(bags) * PLACES, np.uint32)
+    for at in range(0, len(doc), BATCH):  # a long text takes no more memory than many short ones
+        part = slice(at, at + BATCH)
+        _advance(doc[part], seed[part], weight[part], low[part], width[part], first, owner)
+    return owner.reshape(-1, PLACES)
+
+
+def _advance(doc: np.ndarray, seed: np.ndarray, weight: np.ndarray, low: np.ndarray, width: np.ndarray, first: np.ndarray, owner: np.ndarray) -> None:
+    """Run the processes of some elements to their end; ``first`` and ``owner`` take the first points."""
     time = np.zeros(len(doc))
     step = np.zeros(1, np.uint64)
     with np.errstate(over="ignore"):
@@ -107,7 +115,6 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             latest = first.reshape(-1, PLACES).max(axis=1)
             alive = time < latest[doc]
             doc, seed, weight, low, width, time = (x[alive] for x in (doc, seed, weight, low, width, time))
-    return owner.reshape(-1, PLACES)
 
 
 def band_keys(signed: np.ndarray) -> np.ndarray:
@@ -213,28 +220,80 @@ def components(links: DataFrame) -> DataFrame:
         pairs = write_table(small.union(least.select("big", "m")).distinct(), "links")
 
 
-def _open_pairs(open_members: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different labels in one open bucket whose signatures agree in enough places.
+def bag_items(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, items) of the ids of ``wanted``: a bag as a sorted set of 64-bit numbers, one for each occurrence of a shingle.
+
+    The overlap of two bags is the number of items that both hold.
+    """
+    texts = _texts_of(docs, wanted, id_col=id_col, text_col=text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            items = []
+            for text in batch.column("text").to_pylist():
+                h, n = shingler.bag(text)
+                nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                items.append(np.sort(_mix(np.repeat(h, n) + nth.astype(np.uint64) * _GOLD)).astype("<u8").tobytes())
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "items": pa.array(items, pa.binary())})
+
+    return texts.mapInArrow(run, "id long, items binary")
+
 
-    A bucket of n members is dealt to blocks of about ``BLOCK``; each pair of
-    blocks is one small group, whatever the bucket's size. No member is left out.
+def _texts_of(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, text) of the ids of ``wanted``. Of a repeated id the greatest text counts, in every run."""
+    mine = docs.select(docs[id_col].cast("long").alias("id"), whole_text(text_col).alias("text"))
+    return mine.join(wanted.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+
+
+def open_links(members: DataFrame, single: DataFrame, items: DataFrame) -> DataFrame:
+    """Links (a, b) between members of different labels in one open bucket, as many as join them and no more.
+
+    ``members`` has (band, key, n, id, label). A bucket is dealt to blocks of
+    about ``BLOCK`` members; each pair of blocks is one small group, whatever
+    the bucket's size, and no member is left out. In a group, pairs whose
+    signatures agree in ``AGREE`` places are compared exactly by their items,
+    the most alike first, unless they are joined by then. A pair is looked at
+    in the first band that it shares.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = open_members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label")
-    dealt = dealt.join(signed.select("id", "signature"), "id")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label")
+    dealt = dealt.join(single.select("id", "signature", "keys").join(items, "id"), "id")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        s = np.frombuffer(b"".join(map(bytes, group["signature"])), "<u4").reshape(len(group), PLACES)
-        ids, labels = group["id"].to_numpy(), group["label"].to_numpy()
+        n, band = len(group), int(group["band"].iloc[0])
+        signed = np.frombuffer(b"".join(map(bytes, group["signature"])), "<u4").reshape(n, PLACES)
+        keys = np.array(group["keys"].tolist(), np.int64)
+        bags = [np.frombuffer(bytes(x), "<u8") for x in group["items"]]
+        sizes, ids = np.array([len(x) for x in bags]), group["id"].to_numpy()
+        firsts: dict[int, int] = {}
+        root = [firsts.setdefault(int(x), k) for k, x in enumerate(group["label"])]
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        top = np.array(root)
+        pairs = []
+        for k in range(n - 1):
+            agree = (signed[k + 1 :] == signed[k]).sum(axis=1)
+            low, high = np.minimum(sizes[k + 1 :], sizes[k]), np.maximum(sizes[k + 1 :], sizes[k])
+            met = np.argmax(keys[k + 1 :] == keys[k], axis=1) == band
+            for x in np.flatnonzero((agree >= AGREE) & (low >= SIMILARITY * high) & met & (top[k + 1 :] != top[k])):
+                pairs.append((-int(agree[x]), k, k + 1 + int(x)))
         found = []
-        for k in range(len(group) - 1):
-            hit = np.flatnonzero(((s[k + 1 :] == s[k]).sum(axis=1) >= AGREE) & (labels[k + 1 :] != labels[k])) + k + 1
-            found += [(max(ids[k], ids[x]), min(ids[k], ids[x])) for x in hit]
+        for _, a, b in sorted(pairs):
+            if (left := find(a)) != (right := find(b)):
+                both = len(np.intersect1d(bags[a], bags[b], assume_unique=True))
+                if both >= SIMILARITY * (sizes[a] + sizes[b] - both):
+                    root[left] = right
+                    found.append((ids[a], ids[b]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("band", "key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return dealt.groupBy("band", "key", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,8 +309,7 @@ def duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Every member of a bucket is first compared to the bucket's least id: as
     many pairs as members, which settles groups of copies of one original.
     A bucket stays open if its other members are of more than one class by
-    then; only there further pairs are looked at, by their signatures, and
-    compared exactly if they may be links.
+    then; only there further pairs are looked at, see ``open_links``.
     """
     signed = write_table(sign_documents(docs, id_col=id_col, text_col=text_col), "signatures")
     copies = signed.groupBy("digest").agg(F.min("id").alias("first"))
@@ -262,22 +320,17 @@ def duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     held = write_table(members.join(buckets, ["band", "key"]), "bucket-members")
     stars = write_table(held.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "star-pairs")
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        mine = docs.select(docs[id_col].cast("long").alias("id"), whole_text(text_col).alias("text"))
-        # Any row of a repeated id would do; the largest text makes it the same one in every run.
-        return write_table(mine.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "pair-texts")
-
-    links = write_table(verified(stars, texts_of(stars)), "links-found")
+    wanted = stars.select(F.col("a").alias("id")).union(stars.select("b"))
+    texts = write_table(_texts_of(docs, wanted, id_col=id_col, text_col=text_col), "pair-texts")
+    links = write_table(verified(stars, texts), "links-found")
     labels = write_table(components(links), "labels")
     seen = held.where("id <> pivot").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     seen = write_table(seen, "labelled-members")
     is_open = seen.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band", "key")
-    rest = _open_pairs(seen.join(is_open, ["band", "key"]), single).join(stars, ["a", "b"], "left_anti")
-    rest = write_table(rest, "open-pairs")
-    if not rest.isEmpty():
-        more = verified(rest, texts_of(rest))
-        labels = write_table(components(links.union(more)), "labels")
+    left = write_table(seen.join(is_open, ["band", "key"]), "open-members")
+    if not left.isEmpty():
+        items = write_table(bag_items(docs, left, id_col=id_col, text_col=text_col), "open-bags")
+        labels = write_table(components(links.union(open_links(left, single, items))), "labels")
     classes = copies.join(labels.withColumnRenamed("id", "first"), "first", "left").select("digest", F.coalesce("label", "first").alias("class_id"))
     return signed.select("id", "digest").join(classes, "digest", "left").select("id", "digest", "class_id")
 
