@@ -33,6 +33,9 @@ AGREE = int(PLACES * (SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / PLACES)
 #: Members of a block of an open bucket, shingles signed at a time, words kept by a worker.
 BLOCK, BATCH, KNOWN = 256, 300_000, 500_000
 
+#: Ids up to which a set of wanted documents is broadcast: some 24 bytes each, 100 MB.
+BROADCAST_IDS = 4_000_000
+
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,7 +129,7 @@ def band_keys(signed: np.ndarray) -> np.ndarray:
 
 
 def sign_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, digest, signature, keys), one for each row of ``docs``; keys is null for a text without words."""
+    """Rows (id, digest, keys), one for each row of ``docs``; keys, one for each band, is null for a text without words."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), whole_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +139,7 @@ def sign_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             found = signatures(bags)
             full = [bool(len(h)) for h, _ in bags]
             keys = [k if f else None for k, f in zip(band_keys(found).tolist(), full, strict=True)]
-            blobs = [s.tobytes() if f else None for s, f in zip(found.astype("<u4"), full, strict=True)]
-            return pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "digest": pa.array(digests, pa.binary()), "signature": pa.array(blobs, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+            return pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "digest": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
         for batch in batches:
             ids, digests, bags, held = [], [], [], 0
@@ -152,7 +154,7 @@ def sign_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             if ids:
                 yield signed(ids, digests, bags)
 
-    return rows.mapInArrow(run, "id long, digest binary, signature binary, keys array<long>")
+    return rows.mapInArrow(run, "id long, digest binary, keys array<long>")
 
 
 def bag_similarity(left: str, right: str) -> float:
@@ -220,36 +222,45 @@ def components(links: DataFrame) -> DataFrame:
         pairs = write_table(small.union(least.select("big", "m")).distinct(), "links")
 
 
-def bag_items(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, items) of the ids of ``wanted``: a bag as a sorted set of 64-bit numbers, one for each occurrence of a shingle.
+def bag_items(texts: DataFrame) -> DataFrame:
+    """Rows (id, signature, items) of ``texts`` (id, text): a bag as a sorted set of 64-bit numbers, one for each occurrence of a shingle.
 
     The overlap of two bags is the number of items that both hold.
     """
-    texts = _texts_of(docs, wanted, id_col=id_col, text_col=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            items = []
-            for text in batch.column("text").to_pylist():
-                h, n = shingler.bag(text)
-                nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                items.append(np.sort(_mix(np.repeat(h, n) + nth.astype(np.uint64) * _GOLD)).astype("<u8").tobytes())
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "items": pa.array(items, pa.binary())})
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                bags = [shingler.bag(text) for text in part.column("text").to_pylist()]
+                items = []
+                for h, n in bags:
+                    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    items.append(np.sort(_mix(np.repeat(h, n) + nth.astype(np.uint64) * _GOLD)).astype("<u8").tobytes())
+                signed = [x.tobytes() for x in signatures(bags).astype("<u4")]
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "signature": pa.array(signed, pa.binary()), "items": pa.array(items, pa.binary())})
 
-    return texts.mapInArrow(run, "id long, items binary")
+    return texts.mapInArrow(run, "id long, signature binary, items binary")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, text) of the ids of ``wanted``. Of a repeated id the greatest text counts, in every run."""
+    """Rows (id, text) of the ids of ``wanted``. Of a repeated id the greatest text counts, in every run.
+
+    The ids are counted; up to ``BROADCAST_IDS`` they are broadcast, so that
+    only the texts wanted are shuffled, beyond that all texts are.
+    """
+    ids = write_table(wanted.select("id").distinct(), "wanted-ids")
+    few = ids.count() <= BROADCAST_IDS
     mine = docs.select(docs[id_col].cast("long").alias("id"), whole_text(text_col).alias("text"))
-    return mine.join(wanted.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    found = mine.join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    return write_table(found, "texts-of-pairs")
 
 
-def open_links(members: DataFrame, single: DataFrame, items: DataFrame) -> DataFrame:
+def open_links(members: DataFrame, items: DataFrame) -> DataFrame:
     """Links (a, b) between members of different labels in one open bucket, as many as join them and no more.
 
-    ``members`` has (band, key, n, id, label). A bucket is dealt to blocks of
+    ``members`` has (band, key, n, id, label) and ``items`` what ``bag_items`` gives. A bucket is dealt to blocks of
     about ``BLOCK`` members; each pair of blocks is one small group, whatever
     the bucket's size, and no member is left out. In a group, pairs whose
     signatures agree in ``AGREE`` places are compared exactly by their items,
@@ -260,12 +271,12 @@ def open_links(members: DataFrame, single: DataFrame, items: DataFrame) -> DataF
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label")
-    dealt = dealt.join(single.select("id", "signature", "keys").join(items, "id"), "id")
+    dealt = dealt.join(items, "id")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         n, band = len(group), int(group["band"].iloc[0])
         signed = np.frombuffer(b"".join(map(bytes, group["signature"])), "<u4").reshape(n, PLACES)
-        keys = np.array(group["keys"].tolist(), np.int64)
+        keys = band_keys(signed)
         bags = [np.frombuffer(bytes(x), "<u8") for x in group["items"]]
         sizes, ids = np.array([len(x) for x in bags]), group["id"].to_numpy()
         firsts: dict[int, int] = {}
@@ -313,7 +324,7 @@ def duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     signed = write_table(sign_documents(docs, id_col=id_col, text_col=text_col), "signatures")
     copies = signed.groupBy("digest").agg(F.min("id").alias("first"))
-    single = signed.where("id is not null and keys is not null").groupBy("digest").agg(F.min_by(F.struct("id", "signature", "keys"), "id").alias("s")).select("s.*")
+    single = signed.where("id is not null and keys is not null").groupBy("digest").agg(F.min_by(F.struct("id", "keys"), "id").alias("s")).select("s.*")
     single = write_table(single, "representatives")
     members = single.select("id", F.posexplode("keys").alias("band", "key"))
     buckets = write_table(members.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
@@ -321,16 +332,16 @@ def duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     stars = write_table(held.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "star-pairs")
 
     wanted = stars.select(F.col("a").alias("id")).union(stars.select("b"))
-    texts = write_table(_texts_of(docs, wanted, id_col=id_col, text_col=text_col), "pair-texts")
-    links = write_table(verified(stars, texts), "links-found")
+    columns = {"id_col": id_col, "text_col": text_col}
+    links = write_table(verified(stars, _texts_of(docs, wanted, **columns)), "links-found")
     labels = write_table(components(links), "labels")
     seen = held.where("id <> pivot").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     seen = write_table(seen, "labelled-members")
     is_open = seen.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band", "key")
     left = write_table(seen.join(is_open, ["band", "key"]), "open-members")
     if not left.isEmpty():
-        items = write_table(bag_items(docs, left, id_col=id_col, text_col=text_col), "open-bags")
-        labels = write_table(components(links.union(open_links(left, single, items))), "labels")
+        items = write_table(bag_items(_texts_of(docs, left, **columns)), "open-bags")
+        labels = write_table(components(links.union(open_links(left, items))), "labels")
     classes = copies.join(labels.withColumnRenamed("id", "first"), "first", "left").select("digest", F.coalesce("label", "first").alias("class_id"))
     return signed.select("id", "digest").join(classes, "digest", "left").select("id", "digest", "class_id")
 
