@@ -356,7 +356,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     kept = write_table(marked.where(least).groupBy("id").agg(F.count("*").alias("rows")), "kept")
     columns = docs.columns
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.struct(*[docs[c] for c in columns]).alias("row"))
-    joined = rows.join(kept.withColumnRenamed("id", "kept_id"), F.col("id").eqNullSafe(F.col("kept_id"))).select("id", "row", "rows")
+    kept = kept.withColumnRenamed("id", "kept_id")
+    kept = F.broadcast(kept) if kept.count() <= BROADCAST_IDS // 4 else kept
+    joined = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id"))).select("id", "row", "rows")
     once = joined.where("rows = 1").select("row")
     several = joined.where("rows > 1").withColumn("digest", F.md5(F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary")))
     keys = F.when(F.col("id").isNull(), F.col("digest"))
