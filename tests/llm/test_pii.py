@@ -53,6 +53,21 @@ def test_copies_of_one_passage_prove_nothing(spark):
     assert {r["added"] for r in pii.sanitise_spans(documents(spark, texts)).collect()} == {0}
 
 
+def test_terms_count_over_whole_documents(spark):
+    """Short names and numbers, far from the entity, at each of their places."""
+    rng = random.Random(4)
+    filler = ["plain", "common", "words", "here", "again", "other", "things"]
+    texts = []
+    for _ in range(6):
+        texts.append(f"Kim {' '.join(rng.choices(filler, k=90))} jo@corp.example.com {' '.join(rng.choices(filler, k=90))} kim 7a41 {rng.choice(filler)}")
+    texts += [" ".join(rng.choices(filler, k=60)) for _ in range(60)]
+    rows = {r["id"]: r for r in pii.sanitise_spans(documents(spark, texts)).collect()}
+    for k in range(6):
+        marked = [texts[k][int(a) : int(b)] for kind, a, b in (s.split(":") for s in rows[k]["spans"].split(",")) if kind in ("remove", "generalise")]
+        assert marked == ["Kim", "kim", "7a41"] and rows[k]["added"] == 3
+    assert all(rows[k]["spans"] == "" for k in range(6, len(texts)))
+
+
 def test_odd_rows(spark):
     rows = pii.sanitise_spans(odd_documents(spark)).collect()
     assert len(rows) == 8 and {r["spans"] for r in rows} == {""}

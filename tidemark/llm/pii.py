@@ -1,7 +1,7 @@
 """Personal data: detection by form and information-theoretic sanitisation.
 
-Entities (addresses, numbers) are found by form. Terms near an entity may
-reveal it: from the whole corpus, the pointwise mutual information of term
+Entities (addresses, numbers) are found by form. Terms of the same document
+may reveal one: from the whole corpus, the pointwise mutual information of term
 and entity is compared to the information content of the entity. A term that
 discloses nearly all of it is removed, one that discloses much is
 generalised.
@@ -31,16 +31,17 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+#: A term is any run of letters and digits: short names and account numbers are terms too.
+_TERM = re.compile(r"[^\W_]+")
 
-#: Characters on either side of an entity that count as its context.
-CONTEXT_CHARS = 80
-#: Least distinct contexts that hold term and entity together.
-LEAST_CONTEXTS = 3
+#: Least distinct texts that hold term and entity together.
+LEAST_TEXTS = 3
 #: Share of the entity's information from which a term is generalised, and removed.
 GENERALISE_FROM, REMOVE_FROM = 0.7, 0.9
 #: Slots of the filter through which terms are counted: 2**20 bits, whatever the corpus.
 SLOTS = 1 << 20
+#: Slots of the filter through which disclosing pairs are found again: 2 MB.
+PAIR_SLOTS = 1 << 24
 
 
 def _luhn(digits: str) -> bool:
@@ -82,32 +83,28 @@ def _key(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value) - (1 << 63)
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Terms near each entity: entity and context digest, term, start and end; terms inside a span are left out."""
-    found = []
-    taken = sorted((s, e) for _, s, e in spans)
-    starts = np.array([s for s, _ in taken])
-    ends = np.maximum.accumulate(np.array([e for _, e in taken])) if taken else starts
-    for kind, start, end in spans:
-        near = []
-        for low, high in ((max(0, start - CONTEXT_CHARS), start), (end, min(len(text), end + CONTEXT_CHARS))):
-            for m in _TERM.finditer(text, low, high):
-                a, b = m.span()
-                cut = (a == low and low > 0 and low != end and text[a - 1].isalpha()) or (b == high and high < len(text) and high != start and text[b].isalpha())
-                k = int(np.searchsorted(starts, b)) - 1
-                if not cut and (k < 0 or ends[k] <= a):
-                    near.append((m[0].lower(), a, b))
-        place = _key(" ".join(t for t, _, _ in near))
-        entity = _key(f"{kind}:{text[start:end].lower()}")
-        found += [{"entity": entity, "place": place, "term": t, "start": a, "end": b} for t, a, b in near]
-    return found
+def entities(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
+    """Numbers of the distinct entities of a text, in the order of their spans."""
+    return list(dict.fromkeys(_key(f"{kind}:{text[start:end].lower()}") for kind, start, end in spans))
 
 
-_CONTEXT = pa.struct([("entity", pa.int64()), ("place", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+def terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """All terms of a text with start and end; terms that touch a span are left out."""
+    taken = sorted((s, e) for _, s, e in spans)
+    k, reach = 0, 0  # ``reach`` is the greatest end of the spans that start before the term's end
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        while k < len(taken) and taken[k][0] < b:
+            reach, k = max(reach, taken[k][1]), k + 1
+        if reach <= a:
+            yield m[0].lower(), a, b
 
 
 def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, digest, counts, base, contexts), one for each row of ``docs``; ``digest`` is of the text."""
+    """Rows (id, digest, counts, base, entities, text), one for each row of ``docs``; ``digest`` is of the text.
+
+    ``digest`` and ``text`` are null where there is no entity: only the texts that hold one are read again.
+    """
     rows = docs.select(docs[id_col].alias("id"), whole_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +117,69 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
                     pa.array([xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) if s else None for t, s in zip(texts, spans, strict=True)], pa.binary()),
                     *(pa.array([sum(k == kind for k, _, _ in s) for s in spans], pa.int64()) for kind in KINDS),
                     pa.array([",".join(f"{k}:{a}:{b}" for k, a, b in s) for s in spans], pa.string()),
-                    pa.array([contexts(t, s) for t, s in zip(texts, spans, strict=True)], pa.list_(_CONTEXT)),
+                    pa.array([entities(t, s) for t, s in zip(texts, spans, strict=True)], pa.list_(pa.int64())),
+                    pa.array([t if s else None for t, s in zip(texts, spans, strict=True)], pa.string()),
                 ],
-                names=["id", "digest", *(f"n_{k}" for k in KINDS), "base", "contexts"],
+                names=["id", "digest", *(f"n_{k}" for k in KINDS), "base", "entities", "text"],
             )
 
     fields = ", ".join(f"n_{k} long" for k in KINDS)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, {fields}, base string, contexts array<struct<entity:long,place:long,term:string,start:long,end:long>>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, {fields}, base string, entities array<long>, text string")
+
+
+def _bits(slots: DataFrame, size: int) -> np.ndarray:
+    """A filter of ``size`` bits, set at the numbers of the column ``slot``."""
+    bits = np.zeros(size, bool)
+    bits[slots.distinct().toArrow().column("slot").to_numpy()] = True
+    return np.packbits(bits)
+
+
+def term_pairs(held: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (entity, term, places, n_both) of the entities in ``wanted``, over whole texts.
+
+    ``n_both`` counts the rows of ``held`` (digest, entities, text) that hold both and ``places`` their distinct texts.
+    A row's pairs are distinct and are dealt by both, so that an entity of many rows is dealt by its terms.
+    """
+    sent = held.sparkSession.sparkContext.broadcast(_bits(wanted.select(F.pmod("entity", F.lit(SLOTS)).cast("int").alias("slot")), SLOTS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            for digest, mine, text in zip(*(batch.column(c).to_pylist() for c in ("digest", "entities", "text")), strict=True):
+                if near := [e for e in mine if mask[e % SLOTS]]:
+                    found = sorted({t for t, _, _ in terms(text, base_spans(text))})
+                    for e in near:
+                        yield pa.RecordBatch.from_pydict({"entity": pa.array([e] * len(found), pa.int64()), "term": pa.array(found, pa.string()), "digest": pa.array([digest] * len(found), pa.binary())})
+
+    rows = held.select("digest", "entities", "text").mapInArrow(run, "entity long, term string, digest binary")
+    both = rows.groupBy("entity", "term", "digest").agg(F.count("*").alias("m")).groupBy("entity", "term").agg(F.count("*").alias("places"), F.sum("m").alias("n_both"))
+    return both.where(F.col("places") >= LEAST_TEXTS).join(wanted.select("entity"), "entity", "left_semi")
+
+
+def occurrences(held: DataFrame, shares: DataFrame) -> DataFrame:
+    """Rows (id, digest, start, end, share): every place in ``held`` of a term that discloses an entity of the same text."""
+    pairs = shares.select("entity", "term").mapInArrow(_pair_slots, "slot int")
+    sent = held.sparkSession.sparkContext.broadcast(_bits(pairs, PAIR_SLOTS))
+    fields = f"id {held.schema['id'].dataType.simpleString()}, digest binary, entity long, term string, start long, end long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            for k, (digest, mine, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("digest", "entities", "text")), strict=True)):
+                places: dict[str, list[tuple[int, int]]] = {}
+                for t, a, b in terms(text, base_spans(text)):
+                    places.setdefault(t, []).append((a, b))
+                found = [(e, t, a, b) for e in mine for t, spans in places.items() if mask[_pair_slot(e, t)] for a, b in spans]
+                if found:
+                    e, t, a, b = zip(*found, strict=True)
+                    ids = pa.concat_arrays([batch.column("id").slice(k, 1)]).take(pa.array([0] * len(found)))
+                    yield pa.RecordBatch.from_arrays(
+                        [ids, pa.array([digest] * len(found), pa.binary()), pa.array(e, pa.int64()), pa.array(t, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                        names=["id", "digest", "entity", "term", "start", "end"],
+                    )
+
+    rows = held.select("id", "digest", "entities", "text").mapInArrow(run, fields)
+    return rows.join(shares, ["entity", "term"]).select("id", "digest", "start", "end", "share")
 
 
 def count_terms(docs: DataFrame, wanted: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -135,10 +188,7 @@ def count_terms(docs: DataFrame, wanted: DataFrame, *, text_col: str = "text") -
     The terms themselves may be many; what goes to the tasks is one bit for
     each of ``SLOTS`` hash values, and a shuffle join sorts out chance hits.
     """
-    bits = np.zeros(SLOTS, bool)
-    slots = wanted.select("term").distinct().mapInArrow(_slots, "slot int").distinct().toArrow().column("slot").to_numpy()
-    bits[slots] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    sent = docs.sparkSession.sparkContext.broadcast(_bits(wanted.select("term").distinct().mapInArrow(_slots, "slot int"), SLOTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.unpackbits(sent.value).astype(bool)
@@ -146,7 +196,7 @@ def count_terms(docs: DataFrame, wanted: DataFrame, *, text_col: str = "text") -
         counts: dict[str, int] = {}
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for term in set(_TERM.findall(text.lower())):
+                for term in {t.lower() for t in set(_TERM.findall(text))}:
                     if (hit := known.get(term)) is None:
                         if len(known) > 500_000:
                             known.clear()
@@ -173,24 +223,37 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"slot": pa.array([_slot(t) for t in batch.column("term").to_pylist()], pa.int32())})
 
 
+def _pair_slot(entity: int, term: str) -> int:
+    return xxhash.xxh3_64_intdigest(term, seed=entity & (1 << 64) - 1) % PAIR_SLOTS
+
+
+def _pair_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch.column("entity").to_pylist(), batch.column("term").to_pylist(), strict=True)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array([_pair_slot(e, t) for e, t in pairs], pa.int32())})
+
+
 def disclosures(found: DataFrame, docs: DataFrame, *, text_col: str = "text") -> DataFrame | None:
     """Rows (entity, term, share): how much of an entity's information each of its terms discloses.
 
-    ``share`` is pmi(term, entity) / information(entity), over documents. A
-    pair needs ``LEAST_CONTEXTS`` distinct contexts, so that copies of one
-    passage prove nothing. None if no pair has them.
+    ``share`` is pmi(term, entity) / information(entity), over the rows of
+    ``docs`` and whole texts. A pair needs ``LEAST_TEXTS`` distinct texts, so
+    that copies of one text prove nothing; an entity with fewer has no such
+    pair and is left out before pairs are made. None if no pair has them.
     """
-    near = found.select("digest", "id", F.explode("contexts").alias("c")).select("digest", "id", "c.*")
-    pairs = near.groupBy("entity", "term", "place").agg(F.count_distinct("id").alias("docs")).groupBy("entity", "term").agg(F.count("*").alias("places"), F.sum("docs").alias("n_both"))
-    pairs = write_table(pairs.where(F.col("places") >= LEAST_CONTEXTS), "pii-pairs")
+    n = docs.count()
+    seen = found.select("digest", F.explode("entities").alias("entity")).groupBy("entity", "digest").agg(F.count("*").alias("m"))
+    often = seen.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("m").alias("n_entity"))
+    often = write_table(often.where((F.col("texts") >= LEAST_TEXTS) & (F.col("n_entity") < n)).select("entity", "n_entity"), "pii-entities")
+    if often.isEmpty():
+        return None
+    pairs = write_table(term_pairs(found, often), "pii-pairs")
     if pairs.isEmpty():
         return None
-    entities = near.select("entity", "id").groupBy("entity").agg(F.count_distinct("id").alias("n_entity"))
-    n = docs.count()
     information = F.lit(math.log2(max(n, 2))) - F.log2("n_entity")
     share = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_term") * F.col("n_entity"))) / information
-    joined = pairs.join(count_terms(docs, pairs, text_col=text_col), "term").join(entities, "entity").where(F.col("n_entity") < n)
-    return joined.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE_FROM)
+    joined = pairs.join(count_terms(docs, pairs, text_col=text_col), "term").join(often, "entity")
+    return write_table(joined.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE_FROM), "pii-shares")
 
 
 def sanitise_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,19 +264,20 @@ def sanitise_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     generalise, which are listed after the base kinds. Null and empty texts
     have no spans. Repeated rows are treated alike: the spans that the method
     adds are found by id and digest of the text. A text without an entity
-    gets none. What is shuffled are the contexts of entities.
+    gets none; in one with an entity, every place of its terms is listed.
+    What is shuffled are pairs of terms and entities that recur, and no texts.
     """
     found = write_table(detect(docs, id_col=id_col, text_col=text_col), "pii")
-    shares = disclosures(found.where("digest is not null"), docs, text_col=text_col)
+    held = found.where("digest is not null")
+    shares = disclosures(held, docs, text_col=text_col)
     base = ("id", *(f"n_{k}" for k in KINDS), "base")
     if shares is None:
         return found.select(*base, F.col("base").alias("spans"), F.lit(0).cast("long").alias("added"))
-    holds = found.where("digest is not null").select("id", "digest", F.explode("contexts").alias("c")).select("id", "digest", "c.entity", "c.term", "c.start", "c.end").distinct()
     kind = F.when(F.max("share") >= REMOVE_FROM, REMOVE).otherwise(GENERALISE)
-    marked = holds.join(shares, ["entity", "term"]).groupBy("id", "digest", "start", "end").agg(kind.alias("kind"))
+    marked = occurrences(held, shares).groupBy("id", "digest", "start", "end").agg(kind.alias("kind"))
     order = F.struct((F.col("kind") == GENERALISE).alias("late"), "start", "end", "kind")
     added = marked.groupBy("id", "digest").agg(F.array_sort(F.collect_list(order)).alias("more"))
-    joined = found.join(added.withColumnsRenamed({"id": "added_id", "digest": "added_digest"}), F.col("id").eqNullSafe(F.col("added_id")) & (F.col("digest") == F.col("added_digest")), "left")
+    joined = found.drop("text", "entities").join(added.withColumnsRenamed({"id": "added_id", "digest": "added_digest"}), F.col("id").eqNullSafe(F.col("added_id")) & (F.col("digest") == F.col("added_digest")), "left")
     listed = F.transform(F.coalesce("more", F.array().cast("array<struct<late:boolean,start:long,end:long,kind:string>>")), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
     spans = F.array_join(F.filter(F.concat(F.array("base"), listed), lambda x: x != ""), ",")
     return joined.select(*base, spans.alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("added"))
