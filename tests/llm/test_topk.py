@@ -46,6 +46,18 @@ def test_vectors_that_take_no_part(spark):
     assert [(r[2], r[3]) for r in _search(spark, rows)] == [(7, 131072), (6, 65536)]
 
 
+def test_large_components_take_part(spark):
+    """Ranked exactly at any size; a score beyond a long is null."""
+    rng = np.random.default_rng(8)
+    x = (rng.standard_normal((200, 6)) * rng.choice([1, 1e6, 1e9, 5e15], (200, 1))).astype(np.float32)
+    x[60:70], x[70] = x[50], -x[50]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    want = _brute({i: [math.floor(256 * float(np.float32(c))) for c in v] for i, v in rows})
+    want = [(i, rank, j, s if -(1 << 63) <= s < 1 << 63 else None) for i, rank, j, s in want]
+    assert _search(spark, rows) == want and any(s is None for *_, s in want)
+    assert [(r[2], r[3]) for r in _search(spark, [(0, [1.0, 1.0]), (1, [1e6, 0.0]), (2, [2.0, 0.0]), (3, [-1e6, 0.0])])] == [(1, 65536 * 10**6), (2, 131072), (3, -65536 * 10**6)]
+
+
 def test_stopping_early_is_proved():
     """A steep query settles on few segments; the members it keeps hold the true best."""
     rng = np.random.default_rng(7)

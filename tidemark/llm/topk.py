@@ -10,6 +10,7 @@ then scored exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,17 @@ BLOCK_ROWS, QUERY_ROWS = 8192, 1024
 LEVELS, GROUP = (0.3, 0.1, 0.03, 0.0), 64
 #: Possible members up to which a query stops adding and scores them exactly.
 FEW = 512
-#: Components beyond this could make a score that a long cannot hold.
-LARGEST = 1 << 27
+#: A long cannot hold integer components from this on.
+LARGEST = 1 << 63
+#: Bound of a score's terms up to which all sums fit a long; scores from there on are made of Python integers.
+SAFE = 2.0**60
+#: Bits of a part of a score: three parts hold any sum of products of longs.
+PART = 62
 
 
 def integer_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """Rows (id, v): components as floor(scale * x). Vectors that are null or hold a null or non-finite component, or one whose
-    integer is beyond ``LARGEST``, take no part; nor do rows without id, which could not be named in a result."""
+    integer no long can hold, take no part; nor do rows without id, which could not be named in a result."""
     exact = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     x = F.col(vector_col)
     bound = float(LARGEST) / scale
@@ -66,8 +71,24 @@ def _in_blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[n
         yield t.column("id").chunk(0).to_numpy(), _matrix(t.column("v").chunk(0))
 
 
+def _bytes(x: np.ndarray) -> bytes:
+    """A matrix in four bytes a component if all fit, else in eight."""
+    return x.astype("<i4" if not x.size or (x.min() >= -(1 << 31) and x.max() < 1 << 31) else "<i8").tobytes()
+
+
+def _opened(data: bytes, n: int, dims: int) -> np.ndarray:
+    return np.frombuffer(data, "<i8" if len(data) == 8 * n * dims else "<i4").reshape(n, dims).astype(np.int64)
+
+
+def _parts(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """High, middle and low part of scores: in this order they compare as the scores do."""
+    mask = (1 << PART) - 1
+    high = scores >> 2 * PART if scores.dtype == object else scores >> 63
+    return tuple(x.astype(np.int64) for x in (high, (scores >> PART) & mask, scores & mask))
+
+
 def build_index(vectors: DataFrame) -> DataFrame:
-    """Index blocks of ``vectors`` (id, v): rows (block, n, dims, ids, matrix, postings), about 2 + 4 bytes a component.
+    """Index blocks of ``vectors`` (id, v): rows (block, n, dims, ids, matrix, postings), about 2 + 4 bytes a component, 2 + 8 with large ones.
 
     Each block is made of rows as they are read, without a shuffle.
     ``postings`` holds, by dimension, the block's rows in ascending order of value.
@@ -77,7 +98,7 @@ def build_index(vectors: DataFrame) -> DataFrame:
         for ids, x in _in_blocks(batches, BLOCK_ROWS):
             order = np.argsort(x, axis=0, kind="stable").astype("<u2")
             yield pa.RecordBatch.from_pydict(
-                {"n": [x.shape[0]], "dims": [x.shape[1]], "ids": [ids.astype("<i8").tobytes()], "matrix": [x.astype("<i4").tobytes()], "postings": [order.T.copy().tobytes()]}
+                {"n": [x.shape[0]], "dims": [x.shape[1]], "ids": [ids.astype("<i8").tobytes()], "matrix": [_bytes(x)], "postings": [order.T.copy().tobytes()]}
             )
 
     return vectors.mapInArrow(run, "n long, dims long, ids binary, matrix binary, postings binary")
@@ -88,7 +109,7 @@ def pack_queries(vectors: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in _in_blocks(batches, QUERY_ROWS):
-            yield pa.RecordBatch.from_pydict({"q_n": [x.shape[0]], "q_dims": [x.shape[1]], "q_ids": [ids.astype("<i8").tobytes()], "q_matrix": [x.astype("<i4").tobytes()]})
+            yield pa.RecordBatch.from_pydict({"q_n": [x.shape[0]], "q_dims": [x.shape[1]], "q_ids": [ids.astype("<i8").tobytes()], "q_matrix": [_bytes(x)]})
 
     return vectors.mapInArrow(run, "q_n long, q_dims long, q_ids binary, q_matrix binary")
 
@@ -99,7 +120,7 @@ class Block:
     def __init__(self, n: int, dims: int, ids: bytes, matrix: bytes, postings: bytes):
         self.n, self.dims = n, dims
         self.ids = np.frombuffer(ids, "<i8")
-        self.x = np.frombuffer(matrix, "<i4").reshape(n, dims).astype(np.int64)
+        self.x = _opened(matrix, n, dims)
         self.postings = np.frombuffer(postings, "<u2").reshape(dims, n)
         self.sorted = np.take_along_axis(self.x.T, self.postings.astype(np.int64), axis=1)
 
@@ -107,7 +128,27 @@ class Block:
         """Ids and scores of each query's best k rows of this block, its own row left out; ties to smaller ids."""
         found = []
         for at in range(0, len(queries), GROUP):
-            found += self._top(query_ids[at : at + GROUP], queries[at : at + GROUP], k)
+            i, q = query_ids[at : at + GROUP], queries[at : at + GROUP]
+            dims = min(q.shape[1], self.dims)
+            reach = np.abs(self.sorted[:dims, [0, -1]].astype(np.float64)).max(axis=1, initial=0)
+            small = (np.abs(q[:, :dims].astype(np.float64)) @ reach).max(initial=0) < SAFE
+            found += self._top(i, q, k) if small else self._wide(i, q[:, :dims], k)
+        return found
+
+    def _wide(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As ``_top`` for scores of any size: doubles, with a bound on their error, prove rows out; members are scored in Python integers."""
+        dims = queries.shape[1]
+        x, q = self.x[:, :dims].astype(np.float64), queries.astype(np.float64)
+        about = x @ q.T
+        error = (np.abs(x) @ np.abs(q).T) * ((dims + 8) * 2.0**-51)
+        found = []
+        for j, (i, v) in enumerate(zip(query_ids, queries.tolist(), strict=True)):
+            others = np.flatnonzero(self.ids != i)
+            low, high = (about - error)[others, j], (about + error)[others, j]
+            if len(others) > k:
+                others = others[high >= np.partition(low, len(low) - k)[len(low) - k]]
+            scored = sorted((-sum(map(mul, v, row)), n) for row, n in zip(self.x[others, :dims].tolist(), self.ids[others].tolist(), strict=True))[:k]
+            found.append((np.array([n for _, n in scored], np.int64), np.array([-s for s, _ in scored], object)))
         return found
 
     def _top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -188,7 +229,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5) -> DataFrame:
     give all of them. Ties go to the smaller id, repeated rows are ranked
     each. Vectors of different lengths are compared over the shorter one.
     An empty side gives no rows. Repeated query ids are ranked together if
-    their vectors agree and are not supported otherwise.
+    their vectors agree and are not supported otherwise. Scores of any size
+    are ranked exactly; one that a long cannot hold is shown as null.
 
     Query blocks are copied to each of some lanes and index blocks are dealt
     to one lane each; so every query block meets every index block once, in
@@ -207,17 +249,22 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5) -> DataFrame:
             for row in batch.to_pylist():
                 block = Block(row["n"], row["dims"], row["ids"], row["matrix"], row["postings"])
                 ids = np.frombuffer(row["q_ids"], "<i8")
-                q = np.frombuffer(row["q_matrix"], "<i4").reshape(row["q_n"], row["q_dims"]).astype(np.int64)
+                q = _opened(row["q_matrix"], row["q_n"], row["q_dims"])
                 got = block.top(ids, q, k)
                 if got:
+                    high, middle, low = _parts(np.concatenate([s for _, s in got]))
                     yield pa.RecordBatch.from_pydict(
                         {
                             "query_id": pa.array(np.repeat(ids, [len(a) for a, _ in got])),
                             "vec_id": pa.array(np.concatenate([a for a, _ in got])),
-                            "score": pa.array(np.concatenate([s for _, s in got]).astype(np.int64)),
+                            "high": pa.array(high),
+                            "middle": pa.array(middle),
+                            "low": pa.array(low),
                         }
                     )
 
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = met.mapInArrow(run, "query_id long, vec_id long, high long, middle long, low long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("middle"), F.desc("low"), "vec_id"))
+    fits = ((F.col("high") == 0) & (F.col("middle") < 2)) | ((F.col("high") == -1) & (F.col("middle") >= (1 << PART) - 2))
+    score = F.when(fits, F.shiftleft("middle", PART).bitwiseOR(F.col("low")))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
