@@ -91,6 +91,23 @@ def test_one_of_each_class_is_kept(spark):
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, texts[0]), (8, texts[4]), (9, "")]
 
 
+def test_texts_are_linked_whatever_their_ids(spark):
+    """Null ids: near copies of each other and of an identified row; a repeated id whose texts are of two classes."""
+    rng = random.Random(21)
+    a, b, c = (_words(rng, 100) for _ in range(3))
+    near = lambda words: " ".join([*words[:-1], "changed"])
+    texts = [" ".join(a), near(a), near(a), " ".join(b), near(b), near(b), " ".join(c), " ".join(b + b[::-1])]
+    ids = [7, None, None, None, None, None, 9, 9]
+    docs = documents(spark, texts, ids=ids)
+    found = {(r["id"], bytes(r["digest"])): r["class_id"] for r in near_dup.duplicate_classes(docs).collect()}
+    assert sorted(map(str, found.values())) == ["7", "7", "9", "9", "None", "None"]
+    kept = [(r["doc_id"], r["text"]) for r in near_dup.keep_one(docs).collect()]
+    assert len(kept) == 4 and {(7, texts[0]), (9, texts[6]), (9, texts[7])} <= set(kept)
+    assert [t in texts[3:5] for i, t in kept if i is None] == [True]
+    docs = documents(spark, [texts[0], texts[0], texts[6]], ids=[3, 5, 5])
+    assert sorted((r["doc_id"], r["text"]) for r in near_dup.keep_one(docs).collect()) == [(3, texts[0]), (5, texts[6])]
+
+
 def test_odd_rows(spark):
     odd = odd_documents(spark)
     rows = near_dup.duplicate_classes(odd).collect()

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import whole_text, write_table
@@ -128,33 +128,39 @@ def band_keys(signed: np.ndarray) -> np.ndarray:
     return keys.astype(np.int64)
 
 
+def text_node(text_col: str = "text") -> Column:
+    """The number of a text, null read as empty: 64 bits of its digest, so that texts without id and other texts of an id have their own."""
+    return F.xxhash64(whole_text(text_col))
+
+
 def sign_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, digest, keys), one for each row of ``docs``; keys, one for each band, is null for a text without words."""
-    rows = docs.select(docs[id_col].cast("long").alias("id"), whole_text(text_col).alias("text"))
+    """Rows (id, node, digest, keys), one for each row of ``docs``; keys, one for each band, is null for a text without words."""
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text_node(text_col).alias("node"), whole_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
 
-        def signed(ids: list, digests: list, bags: list) -> pa.RecordBatch:
+        def signed(ids: list, nodes: list, digests: list, bags: list) -> pa.RecordBatch:
             found = signatures(bags)
             full = [bool(len(h)) for h, _ in bags]
             keys = [k if f else None for k, f in zip(band_keys(found).tolist(), full, strict=True)]
-            return pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "digest": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+            return pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "node": pa.array(nodes, pa.int64()), "digest": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
         for batch in batches:
-            ids, digests, bags, held = [], [], [], 0
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            ids, nodes, digests, bags, held = [], [], [], [], 0
+            for i, node, text in zip(*(batch.column(c).to_pylist() for c in ("id", "node", "text")), strict=True):
                 ids.append(i)
+                nodes.append(node)
                 digests.append(xxhash.xxh3_128_digest(text.encode("utf-8", "replace")))
                 bags.append(shingler.bag(text))
                 held += len(bags[-1][0])
                 if held >= BATCH:
-                    yield signed(ids, digests, bags)
-                    ids, digests, bags, held = [], [], [], 0
+                    yield signed(ids, nodes, digests, bags)
+                    ids, nodes, digests, bags, held = [], [], [], [], 0
             if ids:
-                yield signed(ids, digests, bags)
+                yield signed(ids, nodes, digests, bags)
 
-    return rows.mapInArrow(run, "id long, digest binary, keys array<long>")
+    return rows.mapInArrow(run, "id long, node long, digest binary, keys array<long>")
 
 
 def bag_similarity(left: str, right: str) -> float:
@@ -244,15 +250,15 @@ def bag_items(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, signature binary, items binary")
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, text) of the ids of ``wanted``. Of a repeated id the greatest text counts, in every run.
+def _texts_of(docs: DataFrame, wanted: DataFrame, *, text_col: str) -> DataFrame:
+    """Rows (id, text) of the texts numbered in ``wanted`` (id).
 
-    The ids are counted; up to ``BROADCAST_IDS`` they are broadcast, so that
-    only the texts wanted are shuffled, beyond that all texts are.
+    They are counted; up to ``BROADCAST_IDS`` their numbers are broadcast, so
+    that only the texts wanted are shuffled, beyond that all texts are.
     """
     ids = write_table(wanted.select("id").distinct(), "wanted-ids")
     few = ids.count() <= BROADCAST_IDS
-    mine = docs.select(docs[id_col].cast("long").alias("id"), whole_text(text_col).alias("text"))
+    mine = docs.select(text_node(text_col).alias("id"), whole_text(text_col).alias("text"))
     found = mine.join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     return write_table(found, "texts-of-pairs")
 
@@ -313,54 +319,60 @@ def duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Equal texts are one class; different texts are linked if the similarity
     of their bags is at least ``SIMILARITY``, and links are followed. A text
     of less than five words is one shingle. Texts without words (null, empty,
-    blank) are alike only if equal. Rows that share an id count as one
-    document. Rows with a null id follow their text; if no row of that text
-    has an id, their class is null.
+    blank) are alike only if equal. What is linked are texts, whatever their
+    ids: rows with a null id take part like all others, and texts that share
+    an id are each of their own class. If no row of a class has an id,
+    ``class_id`` is null.
 
-    Every member of a bucket is first compared to the bucket's least id: as
+    Every member of a bucket is first compared to the bucket's least text: as
     many pairs as members, which settles groups of copies of one original.
     A bucket stays open if its other members are of more than one class by
     then; only there further pairs are looked at, see ``open_links``.
     """
+    return _labelled(docs, id_col=id_col, text_col=text_col).select("id", "digest", "class_id")
+
+
+def _labelled(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, node, digest, label, class_id): ``label`` is the least number of the texts of a class."""
     signed = write_table(sign_documents(docs, id_col=id_col, text_col=text_col), "signatures")
-    copies = signed.groupBy("digest").agg(F.min("id").alias("first"))
-    single = signed.where("id is not null and keys is not null").groupBy("digest").agg(F.min_by(F.struct("id", "keys"), "id").alias("s")).select("s.*")
-    single = write_table(single, "representatives")
+    copies = write_table(signed.groupBy("digest", "node").agg(F.min("id").alias("first")), "copies")
+    single = signed.where("keys is not null").groupBy("node").agg(F.min_by("keys", "digest").alias("keys"))
+    single = write_table(single.select(F.col("node").alias("id"), "keys"), "representatives")
     members = single.select("id", F.posexplode("keys").alias("band", "key"))
     buckets = write_table(members.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
     held = write_table(members.join(buckets, ["band", "key"]), "bucket-members")
     stars = write_table(held.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "star-pairs")
 
     wanted = stars.select(F.col("a").alias("id")).union(stars.select("b"))
-    columns = {"id_col": id_col, "text_col": text_col}
-    links = write_table(verified(stars, _texts_of(docs, wanted, **columns)), "links-found")
+    links = write_table(verified(stars, _texts_of(docs, wanted, text_col=text_col)), "links-found")
     labels = write_table(components(links), "labels")
     seen = held.where("id <> pivot").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     seen = write_table(seen, "labelled-members")
     is_open = seen.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band", "key")
     left = write_table(seen.join(is_open, ["band", "key"]), "open-members")
     if not left.isEmpty():
-        items = write_table(bag_items(_texts_of(docs, left, **columns)), "open-bags")
+        items = write_table(bag_items(_texts_of(docs, left, text_col=text_col)), "open-bags")
         labels = write_table(components(links.union(open_links(left, items))), "labels")
-    classes = copies.join(labels.withColumnRenamed("id", "first"), "first", "left").select("digest", F.coalesce("label", "first").alias("class_id"))
-    return signed.select("id", "digest").join(classes, "digest", "left").select("id", "digest", "class_id")
+    linked = write_table(copies.join(labels.withColumnRenamed("id", "node"), "node").select("digest", "label", "first"), "linked")
+    least = linked.groupBy("label").agg(F.min("first").alias("class_id"))
+    linked = write_table(linked.select("digest", "label").join(least, "label"), "classes")
+    classes = copies.join(linked, "digest", "left").select("digest", F.coalesce("label", "node").alias("label"), F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("class_id")).alias("class_id"))
+    return signed.select("id", "node", "digest").join(classes, "digest", "left").select("id", "node", "digest", "label", "class_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one document of each class: that of the least id, or any of a text without id.
+    """The rows of ``docs`` with one document of each class: that of the least id, or any if none has an id.
 
-    Repeated rows of the kept document are reduced to one.
+    Repeated rows of the kept document are reduced to one. Rows are found
+    again by their id and text, so that no other row of the id comes along.
     """
-    marked = duplicate_classes(docs, id_col=id_col, text_col=text_col)
-    least = F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull())
-    kept = write_table(marked.where(least).groupBy("id").agg(F.count("*").alias("rows")), "kept")
+    marked = _labelled(docs, id_col=id_col, text_col=text_col).groupBy("label", "id", "node").agg(F.count("*").alias("rows"))
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node", "rows")).alias("k")
+    kept = write_table(marked.groupBy("label").agg(least).select(F.col("k.id").alias("kept_id"), F.col("k.node").alias("kept_node"), F.col("k.rows").alias("rows")), "kept")
     columns = docs.columns
-    rows = docs.select(docs[id_col].cast("long").alias("id"), F.struct(*[docs[c] for c in columns]).alias("row"))
-    kept = kept.withColumnRenamed("id", "kept_id")
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text_node(text_col).alias("node"), F.struct(*[docs[c] for c in columns]).alias("row"))
     kept = F.broadcast(kept) if kept.count() <= BROADCAST_IDS // 4 else kept
-    joined = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id"))).select("id", "row", "rows")
+    joined = rows.join(kept, (F.col("node") == F.col("kept_node")) & F.col("id").eqNullSafe(F.col("kept_id"))).select("id", "node", "row", "rows")
     once = joined.where("rows = 1").select("row")
-    several = joined.where("rows > 1").withColumn("digest", F.md5(F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary")))
-    keys = F.when(F.col("id").isNull(), F.col("digest"))
-    one = several.groupBy("id", keys.alias("k")).agg(F.first("row").alias("row")).select("row")
+    one = joined.where("rows > 1").groupBy("id", "node").agg(F.first("row").alias("row")).select("row")
     return once.unionByName(one).select("row.*")
