@@ -56,6 +56,17 @@ def test_grams_are_bounded_by_words():
     assert langid.gram_codes("A b").tolist() == langid.gram_codes("a--b").tolist()
 
 
+def test_every_letter_counts_as_itself(spark):
+    """Alphabets beyond Latin-1 and beyond U+FFFF whose letters lie 36 apart are told apart."""
+    letters = {"gg": 0x3B1, "hh": 0x4E00, "ii": 0x4E00 + 36, "jj": 0x20000, "kk": 0x20000 + 36}
+    rng = random.Random(3)
+    rows = [(lang, " ".join("".join(chr(low + rng.randrange(15)) for _ in range(4)) for _ in range(30))) for lang, low in letters.items() for _ in range(6)]
+    docs = documents(spark, [t for _, t in rows], langs=[x for x, _ in rows])
+    found = langid.identify(docs, docs).collect()
+    assert all(r["lang_pred"] == rows[r["doc_id"]][0] and r["score"] > 0 for r in found)
+    assert len(langid.gram_codes(chr(0x20000) + chr(0x1D400))) == 7
+
+
 def test_odd_rows(spark):
     odd = odd_documents(spark)
     rows = langid.identify(odd, odd).collect()

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import whole_text
 
-#: Ranks of a profile, and bits of a letter's code.
-RANKS, BITS = 400, 7
+#: Ranks of a profile, bits of a letter's code and the code of the blank beside a word.
+RANKS, BITS, BLANK = 400, 21, 1
 MERGE_ROWS = 1 << 20
 NO_LETTER = "und"
 
@@ -25,13 +25,12 @@ _table: list[np.ndarray] = []
 
 
 def _letter_table() -> np.ndarray:
-    """Codes of the code points below 0x10000 by their lower case: a-z, then Latin-1, others share the rest; 0 is no letter."""
-    table = np.zeros(0x10000, np.uint8)
-    for c in range(0x10000):
+    """Codes of all code points: a letter has that of its lower case plus two, 0 is no letter."""
+    table = np.zeros(0x110000, np.int32)
+    for c in range(0x110000):
         x = chr(c)
         if x.isalpha():
-            low = ord(x.lower()[:1])
-            table[c] = 1 + low - 97 if 97 <= low < 123 else 27 + (low - 0xC0) % 64 if 0xC0 <= low < 0x100 else 91 + low % 36
+            table[c] = ord(x.lower()[0]) + 2
     return table
 
 
@@ -40,15 +39,15 @@ def gram_codes(text: str) -> np.ndarray:
     if not _table:
         _table.append(_letter_table())
     points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    letters = _table[0][np.minimum(points, 0xFFFF)].astype(np.int32)
-    letters = np.concatenate([[0], letters, [0]]).astype(np.int32)
+    letters = np.concatenate([[0], _table[0][points], [0]]).astype(np.int64)
     letters = letters[np.concatenate([[True], (letters[1:] != 0) | (letters[:-1] != 0)])]
     if len(letters) < 3:
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.int64)
     one = letters[letters != 0]
-    two = (letters[:-1] << BITS) | letters[1:]
-    three = ((letters[:-2] << BITS | letters[1:-1]) << BITS | letters[2:])[letters[1:-1] != 0]
-    return np.sort(np.concatenate([one | (1 << 21), two | (2 << 21), three | (3 << 21)]))
+    coded = np.maximum(letters, BLANK)  # no code is 0, so n-grams of different lengths differ
+    two = (coded[:-1] << BITS) | coded[1:]
+    three = ((coded[:-2] << BITS | coded[1:-1]) << BITS | coded[2:])[letters[1:-1] != 0]
+    return np.sort(np.concatenate([one, two, three]))
 
 
 def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,10 +95,10 @@ def language_profiles(labelled: DataFrame) -> DataFrame:
         for lang in list(held):
             merge(lang)
         for lang, (grams, n) in done.items():
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams), pa.string()), "gram": pa.array(grams, pa.int32()), "n": pa.array(n, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams), pa.string()), "gram": pa.array(grams, pa.int64()), "n": pa.array(n, pa.int64())})
 
     texts = labelled.where("lang is not null").select("lang", whole_text().alias("text"))
-    counts = texts.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     return counts.withColumn("rank", rank - 1).where(F.col("rank") < RANKS).select("lang", "gram", "rank")
 
@@ -109,7 +108,7 @@ class Profiles:
 
     def __init__(self, rows: list[tuple[str, int, int]]):
         self.langs = sorted({lang for lang, _, _ in rows})
-        self.grams = np.array(sorted({gram for _, gram, _ in rows}), np.int32)
+        self.grams = np.array(sorted({gram for _, gram, _ in rows}), np.int64)
         self.ranks = np.full((len(self.grams), len(self.langs)), RANKS, np.int32)
         for lang, gram, rank in rows:
             self.ranks[np.searchsorted(self.grams, gram), self.langs.index(lang)] = rank
