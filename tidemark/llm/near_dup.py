@@ -10,6 +10,7 @@ of the multiset overlap decides, and links are joined to classes.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import whole_text, write_table
+from tidemark.llm.shared import drop_tables, whole_text, write_table
 
 #: Words of a shingle and the least similarity of a link.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -30,11 +31,16 @@ PLACES = BANDS * ROWS
 #: Places that must agree before two members of an open bucket are compared
 #: exactly: five standard deviations below what 0.8 gives.
 AGREE = int(PLACES * (SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / PLACES) ** 0.5))
-#: Members of a block of an open bucket, shingles signed at a time, words kept by a worker.
-BLOCK, BATCH, KNOWN = 256, 300_000, 500_000
+#: Members and items of a block of an open group, shingles signed at a time, words kept by a worker.
+BLOCK, BLOCK_ITEMS, BATCH, KNOWN = 256, 1 << 20, 300_000, 500_000
+#: Hash values by which items are counted: 4 MB.
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
 
-#: Ids up to which a set of wanted documents is broadcast: some 24 bytes each, 100 MB.
-BROADCAST_IDS = 4_000_000
+#: Ids up to which a set of wanted documents is broadcast: some 24 bytes each, 24 MB.
+BROADCAST_IDS = 1_000_000
+#: Texts that may hold more than this part of all rows each; they are broadcast.
+HOT_TEXTS = 10_000
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -219,13 +225,14 @@ def components(links: DataFrame) -> DataFrame:
         mark = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("big", "small"))).head()
         if mark == state:
             return pairs.select(F.col("big").alias("id"), F.col("small").alias("label")).union(pairs.select("small", "small")).distinct() if mark[0] else spark.createDataFrame([], "id long, label long")
-        state = mark
+        state, last = mark, pairs
         both = pairs.select(F.col("big").alias("u"), F.col("small").alias("v")).union(pairs.select("small", "big"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("big"), F.col("m").alias("small")).distinct()
         least = large.groupBy("big").agg(F.min("small").alias("m"))
         small = large.join(least, "big").select(F.col("small").alias("big"), F.col("m").alias("small")).where("big <> small")
         pairs = write_table(small.union(least.select("big", "m")).distinct(), "links")
+        drop_tables(last)
 
 
 def bag_items(texts: DataFrame) -> DataFrame:
@@ -259,32 +266,86 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, *, text_col: str) -> DataFrame
     ids = write_table(wanted.select("id").distinct(), "wanted-ids")
     few = ids.count() <= BROADCAST_IDS
     mine = docs.select(text_node(text_col).alias("id"), whole_text(text_col).alias("text"))
-    found = mine.join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    return write_table(found, "texts-of-pairs")
+    found = write_table(mine.join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts-of-pairs")
+    drop_tables(ids)
+    return found
+
+
+def item_counts(items: DataFrame) -> np.ndarray:
+    """Roughly how often items occur in ``items`` (items): counts by ``SLOTS`` hash values, whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column("items").to_pylist():
+                counts += np.bincount(_slot(np.frombuffer(x, "<u8")), minlength=SLOTS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(used, pa.int64()), "n": pa.array(counts[used])})
+
+    got = items.select("items").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return counts
+
+
+def _slot(items: np.ndarray) -> np.ndarray:
+    return (items >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def rare_items(items: DataFrame) -> DataFrame:
+    """Rows (id, item, nth): of each bag of ``items`` (id, items) the rarest ones, so many that two similar bags have one of them in common.
+
+    A bag of n items shares at least ``SIMILARITY`` * n with any similar one,
+    so the first common item, in one order for all bags, is among the first
+    n - SIMILARITY * n + 1 of both. Any order is right; the one from rare
+    to frequent, by ``item_counts``, makes small groups.
+    """
+    sent = items.sparkSession.sparkContext.broadcast(item_counts(items).astype(np.uint32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in zip(batch.column("id").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                x = np.frombuffer(x, "<u8")
+                most = len(x) - math.ceil(SIMILARITY * len(x) - 1e-9) + 1
+                first = x[np.lexsort((x, sent.value[_slot(x)]))[:most]]
+                yield pa.RecordBatch.from_pydict({"id": pa.array([i] * len(first), pa.int64()), "item": pa.array(first.astype(np.int64)), "nth": pa.array(np.arange(len(first)), pa.int64())})
+
+    return items.select("id", "items").mapInArrow(run, "id long, item long, nth long")
 
 
 def open_links(members: DataFrame, items: DataFrame) -> DataFrame:
-    """Links (a, b) between members of different labels in one open bucket, as many as join them and no more.
+    """Links (a, b) between different labels of ``members`` (id, label), as many as join them and no more; ``items`` is what ``bag_items`` gives.
 
-    ``members`` has (band, key, n, id, label) and ``items`` what ``bag_items`` gives. A bucket is dealt to blocks of
-    about ``BLOCK`` members; each pair of blocks is one small group, whatever
-    the bucket's size, and no member is left out. In a group, pairs whose
+    Members meet in the groups of their ``rare_items``, which no similar pair
+    escapes; texts that share a long passage and else differ do not meet at
+    all. Groups of one label are left out. A group is dealt to blocks by the
+    number and size of its bags; each pair of blocks is one small task,
+    whatever the group's size, and no member is left out. There, pairs whose
     signatures agree in ``AGREE`` places are compared exactly by their items,
     the most alike first, unless they are joined by then. A pair is looked at
-    in the first band that it shares.
+    in the first group that it shares.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label")
-    dealt = dealt.join(items, "id")
+    rare = write_table(rare_items(items).join(members, "id"), "rare-items")
+    size = F.octet_length("items") / 8
+    groups = rare.join(items.select("id", size.alias("size")), "id").groupBy("item").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("label").alias("l"), F.max("label").alias("h"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_ITEMS)).cast("int")
+    groups = write_table(groups.where("l <> h").select("item", blocks.alias("blocks")), "rare-groups")
+    held = rare.join(groups, "item")
+    before = F.expr("transform(filter(met, x -> x.nth < nth), x -> x.item)")
+    mine = held.groupBy("id").agg(F.collect_list(F.struct("nth", "item")).alias("met"))  # bounded by the bag's own rare items
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = held.join(mine, "id").select("item", "id", "label", before.alias("before"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("item", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "before").join(items, "id")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        n, band = len(group), int(group["band"].iloc[0])
+        n = len(group)
         signed = np.frombuffer(b"".join(map(bytes, group["signature"])), "<u4").reshape(n, PLACES)
-        keys = band_keys(signed)
         bags = [np.frombuffer(bytes(x), "<u8") for x in group["items"]]
         sizes, ids = np.array([len(x) for x in bags]), group["id"].to_numpy()
+        names = {x: k for k, x in enumerate({x for met in group["before"] for x in met})}
+        earlier = np.zeros((n, len(names)), np.float32)
+        for k, met in enumerate(group["before"]):
+            earlier[k, [names[x] for x in met]] = 1
         firsts: dict[int, int] = {}
         root = [firsts.setdefault(int(x), k) for k, x in enumerate(group["label"])]
 
@@ -298,8 +359,8 @@ def open_links(members: DataFrame, items: DataFrame) -> DataFrame:
         for k in range(n - 1):
             agree = (signed[k + 1 :] == signed[k]).sum(axis=1)
             low, high = np.minimum(sizes[k + 1 :], sizes[k]), np.maximum(sizes[k + 1 :], sizes[k])
-            met = np.argmax(keys[k + 1 :] == keys[k], axis=1) == band
-            for x in np.flatnonzero((agree >= AGREE) & (low >= SIMILARITY * high) & met & (top[k + 1 :] != top[k])):
+            met = earlier[k + 1 :] @ earlier[k] > 0
+            for x in np.flatnonzero((agree >= AGREE) & (low >= SIMILARITY * high) & ~met & (top[k + 1 :] != top[k])):
                 pairs.append((-int(agree[x]), k, k + 1 + int(x)))
         found = []
         for _, a, b in sorted(pairs):
@@ -310,7 +371,9 @@ def open_links(members: DataFrame, items: DataFrame) -> DataFrame:
                     found.append((ids[a], ids[b]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("band", "key", "i", "j").applyInPandas(run, "a long, b long")
+    links = write_table(dealt.groupBy("item", "i", "j").applyInPandas(run, "a long, b long"), "open-links")
+    drop_tables(rare, groups)
+    return links
 
 
 def duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,55 +387,78 @@ def duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     an id are each of their own class. If no row of a class has an id,
     ``class_id`` is null.
 
-    Every member of a bucket is first compared to the bucket's least text: as
-    many pairs as members, which settles groups of copies of one original.
-    A bucket stays open if its other members are of more than one class by
-    then; only there further pairs are looked at, see ``open_links``.
+    Every member of a bucket is first compared to the bucket's pivot, the one
+    that meets most others over all its buckets and so is likely the original
+    of its copies: as many pairs as members. A bucket stays open if its other
+    members are of more than one class by then; only there further pairs are
+    looked at, see ``open_links``.
     """
     return _labelled(docs, id_col=id_col, text_col=text_col).select("id", "digest", "class_id")
 
 
 def _labelled(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, node, digest, label, class_id): ``label`` is the least number of the texts of a class."""
+    """Rows (id, node, label, class_id, hot): ``label`` is the least number of the texts of a class, ``hot`` tells a text of very many copies."""
     signed = write_table(sign_documents(docs, id_col=id_col, text_col=text_col), "signatures")
-    copies = write_table(signed.groupBy("digest", "node").agg(F.min("id").alias("first")), "copies")
+    copies = write_table(signed.groupBy("digest", "node").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "copies")
     single = signed.where("keys is not null").groupBy("node").agg(F.min_by("keys", "digest").alias("keys"))
     single = write_table(single.select(F.col("node").alias("id"), "keys"), "representatives")
     members = single.select("id", F.posexplode("keys").alias("band", "key"))
-    buckets = write_table(members.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    buckets = write_table(members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     held = write_table(members.join(buckets, ["band", "key"]), "bucket-members")
-    stars = write_table(held.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "star-pairs")
+    near = held.groupBy("id").agg(F.sum("n").alias("near"))
+    pivots = write_table(held.join(near, "id").groupBy("band", "key").agg(F.min(F.struct((-F.col("near")).alias("far"), "id")).alias("p")).select("band", "key", F.col("p.id").alias("pivot")), "pivots")
+    others = write_table(held.join(pivots, ["band", "key"]).where("id <> pivot").select("band", "key", "id", "pivot"), "other-members")
+    stars = write_table(others.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "star-pairs")
 
-    wanted = stars.select(F.col("a").alias("id")).union(stars.select("b"))
-    links = write_table(verified(stars, _texts_of(docs, wanted, text_col=text_col)), "links-found")
+    texts = _texts_of(docs, stars.select(F.col("a").alias("id")).union(stars.select("b")), text_col=text_col)
+    links = write_table(verified(stars, texts), "links-found")
     labels = write_table(components(links), "labels")
-    seen = held.where("id <> pivot").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    seen = write_table(seen, "labelled-members")
+    seen = write_table(others.join(labels, "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label")), "labelled-members")
     is_open = seen.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band", "key")
-    left = write_table(seen.join(is_open, ["band", "key"]), "open-members")
+    left = write_table(seen.join(is_open, ["band", "key"]).select("id", "label").distinct(), "open-members")
+    used = [single, buckets, held, pivots, others, stars, links, seen, left, texts]
     if not left.isEmpty():
-        items = write_table(bag_items(_texts_of(docs, left, text_col=text_col)), "open-bags")
-        labels = write_table(components(links.union(open_links(left, items))), "labels")
+        texts = _texts_of(docs, left, text_col=text_col)
+        items = write_table(bag_items(texts), "open-bags")
+        more = open_links(left, items)
+        used += [texts, items, more, labels]
+        labels = write_table(components(links.union(more)), "labels")
     linked = write_table(copies.join(labels.withColumnRenamed("id", "node"), "node").select("digest", "label", "first"), "linked")
     least = linked.groupBy("label").agg(F.min("first").alias("class_id"))
-    linked = write_table(linked.select("digest", "label").join(least, "label"), "classes")
-    classes = copies.join(linked, "digest", "left").select("digest", F.coalesce("label", "node").alias("label"), F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("class_id")).alias("class_id"))
-    return signed.select("id", "node", "digest").join(classes, "digest", "left").select("id", "node", "digest", "label", "class_id")
+    linked_to = write_table(linked.select("digest", "label").join(least, "label"), "classes")
+    drop_tables(*used, labels, linked)
+    # A text that holds this share of all rows or more is hot: there are at most HOT_TEXTS of them, which are broadcast.
+    from_copies = F.greatest(F.lit(2), F.ceil(F.lit(signed.count() / HOT_TEXTS)))
+    class_id = F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("class_id"))
+    classes = copies.join(linked_to, "digest", "left").select("digest", F.coalesce("label", "node").alias("label"), class_id.alias("class_id"), (F.col("copies") >= from_copies).alias("hot"))
+    classes = write_table(classes, "class-of-text")
+    rows, hot, rest = signed.select("id", "node", "digest"), classes.where("hot"), classes.where("not hot")
+    of_hot = rows.join(F.broadcast(hot), "digest")
+    of_rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest, "digest")
+    return of_hot.unionByName(of_rest).select("id", "node", "digest", "label", "class_id", "hot")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one document of each class: that of the least id, or any if none has an id.
+    """The rows of ``docs`` with one document of each class: that of the least id, or of the least text if none has an id.
 
-    Repeated rows of the kept document are reduced to one. Rows are found
-    again by their id and text, so that no other row of the id comes along.
+    Repeated rows of the kept document are reduced to one, the least as JSON
+    if other columns differ. Rows are found again by their id and text, so
+    that no other row of the id comes along. Null and empty texts are one
+    class; an empty table gives no rows.
     """
-    marked = _labelled(docs, id_col=id_col, text_col=text_col).groupBy("label", "id", "node").agg(F.count("*").alias("rows"))
-    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node", "rows")).alias("k")
-    kept = write_table(marked.groupBy("label").agg(least).select(F.col("k.id").alias("kept_id"), F.col("k.node").alias("kept_node"), F.col("k.rows").alias("rows")), "kept")
+    marked = _labelled(docs, id_col=id_col, text_col=text_col).groupBy("label", "id", "node").agg(F.count("*").alias("rows"), F.max("hot").alias("hot"))
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node", "rows", "hot")).alias("k")
+    kept = marked.groupBy("label").agg(least).select(F.col("k.id").alias("kept_id"), F.col("k.node").alias("kept_node"), F.col("k.rows").alias("rows"), F.col("k.hot").alias("hot"))
+    kept = write_table(kept, "kept")
     columns = docs.columns
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_node(text_col).alias("node"), F.struct(*[docs[c] for c in columns]).alias("row"))
-    kept = F.broadcast(kept) if kept.count() <= BROADCAST_IDS // 4 else kept
-    joined = rows.join(kept, (F.col("node") == F.col("kept_node")) & F.col("id").eqNullSafe(F.col("kept_id"))).select("id", "node", "row", "rows")
+    meets = (F.col("node") == F.col("kept_node")) & F.col("id").eqNullSafe(F.col("kept_id"))
+    if kept.count() <= BROADCAST_IDS:
+        joined = rows.join(F.broadcast(kept), meets)
+    else:  # rows are dealt by text; the few hot texts are not
+        hot = F.broadcast(kept.where("hot"))
+        joined = rows.join(hot, meets).unionByName(rows.join(hot.select(F.col("kept_node").alias("node")), "node", "left_anti").join(kept.where("not hot"), meets))
+    joined = joined.select("id", "node", "row", "rows")
     once = joined.where("rows = 1").select("row")
-    one = joined.where("rows > 1").groupBy("id", "node").agg(F.first("row").alias("row")).select("row")
+    one = joined.where("rows > 1").groupBy("id", "node").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
     return once.unionByName(one).select("row.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +13,21 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders of the frames that ``write_table`` gave.
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is what the cluster names in ``spark.checkpoint.dir``. Only where that
-    is unset (tests on one machine) a temporary folder is made and set.
+    is unset and all runs on one machine (tests) a temporary folder is made
+    and set; elsewhere executors could not read it, which is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,7 +41,18 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    frame = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[frame] = path
+    return frame
+
+
+def drop_tables(*frames: DataFrame) -> None:
+    """Remove what ``write_table`` wrote for these frames; nothing that is still to be computed may read them."""
+    for frame in frames:
+        if path := _folders.pop(frame, None):
+            spark = frame.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
