@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 from common import documents, empty_documents, odd_documents
+from pyspark.sql import functions as F
 
 from tidemark.llm import secret_scan
 
@@ -57,6 +60,45 @@ def test_redaction_leaves_clean_documents_alone(spark):
     assert secret_scan.redact_documents(docs).columns == docs.columns
 
 
+def test_wider_spans_stand_apart(spark):
+    """The two folds leave out just the spans that all pairs of spans show to overlap."""
+    rng = random.Random(7)
+    arrays = []
+    for _ in range(60):
+        arrays.append(sorted((a := rng.randrange(60), rng.randrange(6), a + rng.randrange(1, 9), "k", "h") for _ in range(rng.randrange(14))))
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(arrays)], f"n int, spans array<{secret_scan._SPAN}>")
+    got = {r["n"]: [tuple(s) for s in r["apart"]] for r in frame.select("n", secret_scan._apart(F.col("spans")).alias("apart")).collect()}
+    for k, x in enumerate(arrays):
+        meets = lambda s, o: s[0] < o[2] and o[0] < s[2]
+        want = [s for s in x if s[1] >= 3 and not any(meets(s, o) and (o[1] < 3 or o[1] < s[1]) for o in x)]
+        assert got[k] == want
+
+
+def test_texts_of_many_matches_take_linear_time(spark):
+    text = " ".join(f"secret={k:020d}é ghp_{'Zq' * 8}{k:06d}" for k in range(10_000))
+    began = time.monotonic()
+    rows = {r["id"]: r for r in secret_scan.scan_documents(documents(spark, [text, "clean"])).collect()}
+    assert rows[0]["n_assign"] == 10_000 and rows[1]["spans"] == ""
+    assert [s.split(":")[0] for s in rows[0]["spans"].split(",")] == ["assign", "hex", "vendor"] * 10_000
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact_documents(documents(spark, [text])).collect()}
+    assert clean[0] == " ".join(["[secret]é [secret]"] * 10_000)
+    assert time.monotonic() - began < 90
+
+
+def test_late_digits_and_letters_are_found(spark):
+    late = "z" * 60 + "B" * 60 + "7"
+    rows = secret_scan.scan_documents(documents(spark, [f"x {late} y", "x " + "z" * 120 + " y"])).collect()
+    assert {r["id"]: r["spans"] for r in rows} == {0: f"mixed:2:{2 + len(late)}", 1: ""}
+
+
+def test_many_repositories_of_two_owners_are_an_example(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "EXAMPLE_REPOS", 4)
+    texts = [f"doc {k} {EXAMPLE}" for k in range(4)] + [f"doc {k} {LIVE}" for k in range(4)]
+    rows = {r["id"]: r for r in secret_scan.scan_documents(documents(spark, texts, sources=["a", "b", "b", "b"] + ["a"] * 4)).collect()}
+    assert all(rows[k]["n_example"] == 1 and rows[k]["spans"] == "" for k in range(4))
+    assert all(rows[k]["n_live"] == 1 for k in range(4, 8))
+
+
 def test_odd_rows(spark):
     odd = odd_documents(spark)
     assert secret_scan.scan_documents(odd).count() == 8

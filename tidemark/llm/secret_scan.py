@@ -7,6 +7,8 @@ example, one that is bound to few owners looks live.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,24 +25,40 @@ BASE = (
 WIDER = (
     ("vendor", r"\b(?:gh[opsu]_|glpat-|sk_live_|sk-|xox[abprs]-|AIza|SG\.)[A-Za-z0-9_.-]{16,}", 16),
     ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\\s]*", 27),
-    ("mixed", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])(?=[A-Z0-9+/_-]{0,40}[a-z])(?=[a-z0-9+/_-]{0,40}[A-Z])[A-Za-z0-9+/_-]{24,}", 24),
+    ("mixed", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{24,}+", 24),
 )
-#: Owners from which a value is a copied example.
-EXAMPLE_OWNERS = 5
-#: Prefix sums are made by blocks of so many terms.
-BLOCK = 64
-
-
-def _sums_before(lengths: Column) -> Column:
-    """For each number of an array, the sum of all before it; by blocks, so that long arrays stay cheap."""
-    add = lambda a, x: a + x
-    zero = F.lit(0)
-    blocks = F.transform(F.sequence(zero, F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, BLOCK), zero, add))
-    starts = F.transform(blocks, lambda _, b: F.aggregate(F.slice(blocks, 1, b), zero, add))
-    return F.transform(
-        lengths,
-        lambda _, k: F.element_at(starts, F.floor(k / BLOCK).cast("int") + 1) + F.aggregate(F.slice(lengths, F.floor(k / BLOCK).cast("int") * BLOCK + 1, k % BLOCK), zero, add),
-    )
+#: Owners from which a value is a copied example, and repositories from which it is one if more than one owner holds it.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 5, 100
+#: Items that one fold with an array as its state takes; code points of a page of a text.
+CHUNK, PAGE = 256, 1024
+
+
+def _gathered(items: Column, state: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column]], kind: str) -> Column:
+    """An array of type ``kind``, one element for each of ``items``, made by a fold from left to right.
+
+    ``step`` takes the state (of ints) and an item and gives the next state
+    and the element. Spark copies what a fold holds at each step; so a first
+    fold passes the state alone and keeps it for each chunk of items, and
+    each chunk's elements are gathered by a fold of its own. The items are
+    bound to a variable of ``transform``, which evaluates them once.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    now = lambda values: F.struct(*(values[k].cast("int").alias(k) for k in state))
+
+    def over(x: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int"))
+        part = lambda c: F.slice(x, c * CHUNK + 1, CHUNK)
+        passed = lambda a, c: F.struct(F.aggregate(part(c), a["now"], lambda s, i: now(step(s, i)[0])).alias("now"), F.concat(a["starts"], F.array(a["now"])).alias("starts"))
+        begin = F.struct(now(state).alias("now"), F.array().cast(f"array<struct<{','.join(f'{k}:int' for k in state)}>>").alias("starts"))
+        starts = F.aggregate(chunks, begin, passed, lambda a: a["starts"])
+
+        def held(a: Column, i: Column) -> Column:
+            after, element = step(a["now"], i)
+            return F.struct(now(after).alias("now"), F.concat(a["out"], F.array(element.cast(kind))).alias("out"))
+
+        return F.flatten(F.zip_with(starts, chunks, lambda s, c: F.aggregate(part(c), F.struct(s.alias("now"), none.alias("out")), held, lambda a: a["out"])))
+
+    return F.transform(F.array(items), over)[0]
 
 
 def _with_spans(df: DataFrame, name: str, pattern: str, least: int) -> DataFrame:
@@ -54,20 +72,16 @@ def _with_spans(df: DataFrame, name: str, pattern: str, least: int) -> DataFrame
     has = F.size(found) > 0
     df = df.withColumn(f"{name}_found", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
     df = df.withColumn(f"{name}_gaps", F.when(has, F.split("text", pattern, -1)))
-    lengths = F.flatten(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.array(F.char_length(g), F.char_length(m))))
-    df = df.withColumn(f"{name}_lengths", F.when(has, lengths))
-    df = df.withColumn(f"{name}_before", F.when(has, _sums_before(F.col(f"{name}_lengths"))))
-    before = F.col(f"{name}_before")
     value = (lambda m: F.regexp_extract(m, pattern, 2)) if name == "assign" else (lambda m: m)
-    each = F.transform(
-        found,
-        lambda m, k: F.struct(
-            F.element_at(before, 2 * k + 2).alias("start"), (F.element_at(before, 2 * k + 2) + F.char_length(m)).alias("end"), value(m).alias("value")
-        ),
-    )
-    spans = F.when(has, F.filter(each, lambda s: F.char_length(s["value"]) >= least))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return df.withColumn(name, F.coalesce(spans, empty)).drop(*(f"{name}_{x}" for x in ("found", "gaps", "lengths", "before")))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("size"), m.alias("match")))
+
+    def placed(at: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        start = at["at"] + x["gap"]
+        return {"at": start + x["size"]}, F.struct(start.alias("start"), (start + x["size"]).alias("end"), value(x["match"]).alias("value"))
+
+    kind = "struct<start:int,end:int,value:string>"
+    spans = F.filter(_gathered(pairs, {"at": F.lit(0)}, placed, kind), lambda s: F.char_length(s["value"]) >= least)
+    return df.withColumn(name, F.coalesce(F.when(has, spans), F.array().cast(f"array<{kind}>"))).drop(f"{name}_found", f"{name}_gaps")
 
 
 def _tagged(name: str, rank: int) -> Column:
@@ -80,6 +94,33 @@ def _tagged(name: str, rank: int) -> Column:
 _SPAN = "struct<start:int,rank:int,end:int,kind:string,hash:string>"
 
 
+def _apart(spans: Column) -> Column:
+    """The wider spans of a sorted array of all spans that overlap no base span and none of a kind listed before their own.
+
+    One fold from each side: the first knows how far earlier spans reach, the
+    second where later ones start.
+    """
+    first, kinds = len(BASE), [f"k{r}" for r in range(len(BASE), len(BASE) + len(WIDER) - 1)]
+    marked = _SPAN[:-1] + ",meets:boolean>"
+
+    def fold(items: Column, far: int, crosses: Callable[[Column, Column], Column], held: Callable[[Column, Column], Column]) -> Column:
+        def step(a: Column, x: Column) -> tuple[dict[str, Column], Column]:
+            meets = crosses(a["base"], x)
+            for r, k in enumerate(kinds, first):
+                meets = meets | ((x["rank"] > r) & crosses(a[k], x))
+            after = {"base": F.when(x["rank"] < first, held(a["base"], x)).otherwise(a["base"])}
+            after |= {k: F.when(x["rank"] == r, held(a[k], x)).otherwise(a[k]) for r, k in enumerate(kinds, first)}
+            return after, F.struct(*(x[f].alias(f) for f in ("start", "rank", "end", "kind", "hash")), (x["meets"] | ((x["rank"] >= first) & meets)).alias("meets"))
+
+        return _gathered(items, dict.fromkeys(["base", *kinds], F.lit(far)), step, marked)
+
+    fresh = F.transform(spans, lambda s: F.struct(*(s[f].alias(f) for f in ("start", "rank", "end", "kind", "hash")), F.lit(False).alias("meets")))
+    ahead = fold(fresh, 0, lambda reach, x: reach > x["start"], lambda reach, x: F.greatest(reach, x["end"]))
+    behind = fold(F.reverse(ahead), 2**31 - 1, lambda begin, x: begin < x["end"], lambda begin, x: F.least(begin, x["start"]))
+    kept = F.filter(behind, lambda s: (s["rank"] >= first) & ~s["meets"])
+    return F.reverse(F.transform(kept, lambda s: F.struct(*(s[f].alias(f) for f in ("start", "rank", "end", "kind", "hash")))))
+
+
 def find_candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, owner, repo, digest, carried, base, wider), one for each row of ``docs``.
 
@@ -99,8 +140,7 @@ def find_candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     base = F.array_sort(F.concat(*(_tagged(name, k) for k, (name, _, _) in enumerate(BASE))))
     wider = F.array_sort(F.concat(*(_tagged(name, k) for k, (name, _, _) in enumerate(WIDER, len(BASE)))))
     rows = rows.withColumn("base", base).withColumn("wider", wider)
-    meets = lambda w, b: (b["start"] < w["end"]) & (w["start"] < b["end"])
-    apart = F.filter("wider", lambda w: ~F.exists("base", lambda b: meets(w, b)) & ~F.exists("wider", lambda b: (b["rank"] < w["rank"]) & meets(w, b)))
+    apart = F.when(F.size("wider") > 0, _apart(F.array_sort(F.concat("base", "wider")))).otherwise(F.col("wider"))
     return rows.select("id", "owner", "repo", F.xxhash64("text").alias("digest"), "carried", "base", apart.alias("wider"))
 
 
@@ -130,7 +170,7 @@ def judge_candidates(candidates: DataFrame) -> DataFrame:
     """
     spans = candidates.where(F.size(F.concat("base", "wider")) > 0).select("id", "digest", F.explode(F.concat("base", "wider")).alias("s")).distinct()
     counted = spans.join(ownership(candidates).select(F.col("hash").alias("of"), "owners", "repos"), F.col("s.hash") == F.col("of"))
-    copied = F.col("owners") >= EXAMPLE_OWNERS
+    copied = (F.col("owners") >= EXAMPLE_OWNERS) | ((F.col("owners") > 1) & (F.col("repos") >= EXAMPLE_REPOS))
     verdicts = counted.groupBy("id", "digest").agg(
         F.array_sort(F.collect_list(F.when(~copied, F.col("s")))).alias("live"), F.array_sort(F.collect_list(F.when(copied, F.col("s")))).alias("example")
     )
@@ -170,15 +210,22 @@ def redact_documents(docs: DataFrame, *, text_col: str = "text", length_col: str
     judged = judge_candidates(held)
     tag = lambda s, what: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(what).alias("tag"))
     marks = F.array_sort(F.concat(F.transform("live", lambda s: tag(s, "[secret]")), F.transform("example", lambda s: tag(s, "[example secret]"))))
+    judged = judged.withColumn("marks", marks)
     text = F.col(f"carried.{text_col}")
-    state = "struct<out:array<string>,at:int>"
-    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at")).cast(state)
-    step = lambda a, s: F.when(
-        s["start"] >= a["at"],
-        F.struct(F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["tag"])).alias("out"), s["end"].alias("at")),
-    ).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at")))
-    cut = F.aggregate(marks, begin, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.lit(2**31 - 1))))
-    clean = F.when(F.size(marks) > 0, cut).otherwise(text)
+
+    def cleaned(pages: Column) -> Column:
+        """The text, which ``pages`` holds in parts of ``PAGE`` code points: a piece is cut from its own pages, wherever it is."""
+
+        def cut(a: Column, s: Column) -> tuple[dict[str, Column], Column]:
+            first, last = F.floor(a["at"] / PAGE).cast("int"), F.floor(s["start"] / PAGE).cast("int")
+            piece = F.substring(F.array_join(F.slice(pages, first + 1, last - first + 1), ""), a["at"] % PAGE + 1, s["start"] - a["at"])
+            return {"at": F.greatest(a["at"], s["end"])}, F.when(s["start"] >= a["at"], F.concat(piece, s["tag"])).otherwise("")
+
+        pieces = _gathered(F.col("marks"), {"at": F.lit(0)}, cut, "string")
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.array_max(F.transform("marks", lambda s: s["end"])) + 1, F.lit(2**31 - 1)))
+
+    pages = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+    clean = F.when(F.size("marks") > 0, F.transform(F.array(pages), cleaned)[0]).otherwise(text)
     fixed = judged.select("carried", clean.alias("clean"))
     out = [F.col("clean").alias(c) if c == text_col else F.char_length("clean").cast("long").alias(c) if c == length_col else F.col(f"carried.`{c}`").alias(c) for c in columns]
     return fixed.select(*out)
