@@ -36,14 +36,14 @@ from rated
 
 TOPK = """
 with vectors as (
-  select vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) as v from embeddings
-  where embedding is not null and vec_id is not null
-    and len(list_filter(embedding, lambda x: x is null or not isfinite(x) or abs(x::DOUBLE) >= 524288)) = 0),
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) as v from embeddings
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+queries as (select distinct vec_id, v from vectors where vec_id % 50 = 0),
 scored as (
-  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT as score
-  from vectors q join vectors c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
-ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::INTEGER as rank from scored)
-select query_id, rank, vec_id, score from ranked where rank <= 5
+  select q.vec_id as query_id, q.v as query, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) as score
+  from queries q join vectors c on q.vec_id <> c.vec_id),
+ranked as (select *, row_number() over (partition by query_id, query order by score desc, vec_id)::INTEGER as rank from scored)
+select query_id, rank, vec_id, try_cast(score as BIGINT) as score from ranked where rank <= 5
 """
 
 ORACLES: dict[str, str] = {"op4_source_mixing": MIXING, "op7_exact_topk": TOPK}

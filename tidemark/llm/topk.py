@@ -14,6 +14,8 @@ from operator import mul
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,31 +27,31 @@ BLOCK_ROWS, QUERY_ROWS = 8192, 1024
 LEVELS, GROUP = (0.3, 0.1, 0.03, 0.0), 64
 #: Possible members up to which a query stops adding and scores them exactly.
 FEW = 512
-#: A long cannot hold integer components from this on.
-LARGEST = 1 << 63
-#: Bound of a score's terms up to which all sums fit a long; scores from there on are made of Python integers.
-SAFE = 2.0**60
-#: Bits of a part of a score: three parts hold any sum of products of longs.
-PART = 62
+#: Components are floors of this many times a number, a power of two.
+SCALE = 256
+#: Components below which a product is a long, and bound of a score's terms up to which all sums fit one; scores from there on are made of Python integers.
+LARGE, SAFE = 2.0**31, 2.0**60
 
 
-def integer_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """Rows (id, v): components as floor(scale * x). Vectors that are null or hold a null or non-finite component, or one whose
-    integer no long can hold, take no part; nor do rows without id, which could not be named in a result."""
-    exact = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    x = F.col(vector_col)
-    bound = float(LARGEST) / scale
-    fine = x.isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c.cast("double")) < bound), F.lit(False)))
-    return df.where(fine).select(F.col(id_col).cast("long").alias("id"), exact.alias("v"))
+def integer_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Rows (id, v): v holds floor(SCALE * x) / SCALE, which a double holds exactly whatever x.
+
+    Vectors that are null or hold a null or non-finite component take no
+    part; nor do rows without id, which could not be named in a result.
+    """
+    whole = lambda x: F.floor(x * F.lit(float(SCALE))).cast("double") / F.lit(float(SCALE))
+    exact = F.transform(vector_col, lambda x: F.when(F.abs(x.cast("double")) < 2.0**52, whole(x.cast("double"))).otherwise(x.cast("double")))
+    finite = F.forall(vector_col, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
+    return df.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & finite).select(F.col(id_col).cast("long").alias("id"), exact.alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of one matrix, shorter vectors filled with zeros, which add nothing to a product."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    """Rows of one matrix of doubles, shorter vectors filled with zeros, which add nothing to a product."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
     sizes = np.diff(column.offsets.to_numpy())
     if not len(sizes):
-        return np.zeros((0, 0), np.int64)
-    out = np.zeros((len(sizes), int(sizes.max())), np.int64)
+        return np.zeros((0, 0))
+    out = np.zeros((len(sizes), int(sizes.max())))
     out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
 
@@ -72,36 +74,47 @@ def _in_blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[n
 
 
 def _bytes(x: np.ndarray) -> bytes:
-    """A matrix in four bytes a component if all fit, else in eight."""
-    return x.astype("<i4" if not x.size or (x.min() >= -(1 << 31) and x.max() < 1 << 31) else "<i8").tobytes()
+    """A matrix as integers of four bytes a component if all fit, else as doubles."""
+    small = not x.size or np.abs(x).max() < LARGE / SCALE
+    return (x * SCALE).astype("<i4").tobytes() if small else x.astype("<f8").tobytes()
 
 
 def _opened(data: bytes, n: int, dims: int) -> np.ndarray:
-    return np.frombuffer(data, "<i8" if len(data) == 8 * n * dims else "<i4").reshape(n, dims).astype(np.int64)
+    """The matrix of ``_bytes``: longs, or doubles if a component may be too large for one."""
+    if len(data) == 8 * n * dims and data:
+        return np.frombuffer(data, "<f8").reshape(n, dims)
+    return np.frombuffer(data, "<i4").reshape(n, dims).astype(np.int64)
+
 
+def _integers(row: np.ndarray) -> list[int]:
+    return [int(x) * SCALE if abs(x) >= 2.0**52 else int(x * SCALE) for x in row.tolist()] if row.dtype == np.float64 else row.tolist()
 
-def _parts(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """High, middle and low part of scores: in this order they compare as the scores do."""
-    mask = (1 << PART) - 1
-    high = scores >> 2 * PART if scores.dtype == object else scores >> 63
-    return tuple(x.astype(np.int64) for x in (high, (scores >> PART) & mask, scores & mask))
+
+def _wide(score: int) -> tuple[int, bytes | None]:
+    """(0, None) for a score that a long holds, else its sign and bytes that compare as such scores of one sign do."""
+    if -(1 << 63) <= score < 1 << 63:
+        return 0, None
+    size = (abs(score).bit_length() + 7) // 8
+    data = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return (1, data) if score > 0 else (-1, bytes(255 - b for b in data))
 
 
 def build_index(vectors: DataFrame) -> DataFrame:
-    """Index blocks of ``vectors`` (id, v): rows (block, n, dims, ids, matrix, postings), about 2 + 4 bytes a component, 2 + 8 with large ones.
+    """Index blocks of ``vectors`` (id, v): rows (place, n, dims, ids, matrix, postings), about 2 + 4 bytes a component, 2 + 8 with large ones.
 
     Each block is made of rows as they are read, without a shuffle.
-    ``postings`` holds, by dimension, the block's rows in ascending order of value.
+    ``postings`` holds, by dimension, the block's rows in ascending order of
+    value, and ``place`` is the number of the task plus that of the block in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in _in_blocks(batches, BLOCK_ROWS):
+        for place, (ids, x) in enumerate(_in_blocks(batches, BLOCK_ROWS), TaskContext.get().partitionId()):
             order = np.argsort(x, axis=0, kind="stable").astype("<u2")
             yield pa.RecordBatch.from_pydict(
-                {"n": [x.shape[0]], "dims": [x.shape[1]], "ids": [ids.astype("<i8").tobytes()], "matrix": [_bytes(x)], "postings": [order.T.copy().tobytes()]}
+                {"place": [place], "n": [x.shape[0]], "dims": [x.shape[1]], "ids": [ids.astype("<i8").tobytes()], "matrix": [_bytes(x)], "postings": [order.T.copy().tobytes()]}
             )
 
-    return vectors.mapInArrow(run, "n long, dims long, ids binary, matrix binary, postings binary")
+    return vectors.mapInArrow(run, "place long, n long, dims long, ids binary, matrix binary, postings binary")
 
 
 def pack_queries(vectors: DataFrame) -> DataFrame:
@@ -130,24 +143,35 @@ class Block:
         for at in range(0, len(queries), GROUP):
             i, q = query_ids[at : at + GROUP], queries[at : at + GROUP]
             dims = min(q.shape[1], self.dims)
+            whole = self.x.dtype != np.float64 and q.dtype != np.float64
             reach = np.abs(self.sorted[:dims, [0, -1]].astype(np.float64)).max(axis=1, initial=0)
-            small = (np.abs(q[:, :dims].astype(np.float64)) @ reach).max(initial=0) < SAFE
-            found += self._top(i, q, k) if small else self._wide(i, q[:, :dims], k)
+            small = whole and (np.abs(q[:, :dims].astype(np.float64)) @ reach).max(initial=0) < SAFE
+            found += self._top(i, q, k) if small else self._large(i, q[:, :dims], k)
         return found
 
-    def _wide(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """As ``_top`` for scores of any size: doubles, with a bound on their error, prove rows out; members are scored in Python integers."""
+    def _large(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As ``_top`` for scores of any size: doubles, with a bound on their error, prove rows out; members are scored in Python integers.
+
+        Rows and queries are scaled to at most one, so that no product leaves the doubles.
+        """
         dims = queries.shape[1]
-        x, q = self.x[:, :dims].astype(np.float64), queries.astype(np.float64)
-        about = x @ q.T
-        error = (np.abs(x) @ np.abs(q).T) * ((dims + 8) * 2.0**-51)
+
+        def scaled(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            exponent = np.frexp(np.abs(m).max(axis=1, initial=1e-300))[1]
+            return np.ldexp(m.astype(np.float64), -exponent[:, None]), exponent
+
+        (x, ex), (q, _) = scaled(self.x[:, :dims]), scaled(queries)
+        about, error = x @ q.T, (np.abs(x) @ np.abs(q).T) * ((dims + 8) * 2.0**-51) + 1e-300
+        top = int(ex.max(initial=0))
+        near = np.maximum(ex - top, -1000)[:, None]  # all rows of a query on one scale; what is lost below it is less than the error
+        low, high = np.ldexp(about - error, near) - 1e-290, np.ldexp(about + error, near) + 1e-290
         found = []
-        for j, (i, v) in enumerate(zip(query_ids, queries.tolist(), strict=True)):
+        for j, (i, v) in enumerate(zip(query_ids, map(_integers, queries), strict=True)):
             others = np.flatnonzero(self.ids != i)
-            low, high = (about - error)[others, j], (about + error)[others, j]
             if len(others) > k:
-                others = others[high >= np.partition(low, len(low) - k)[len(low) - k]]
-            scored = sorted((-sum(map(mul, v, row)), n) for row, n in zip(self.x[others, :dims].tolist(), self.ids[others].tolist(), strict=True))[:k]
+                least = low[others, j]
+                others = others[high[others, j] >= np.partition(least, len(least) - k)[len(least) - k]]
+            scored = sorted((-sum(map(mul, v, _integers(self.x[r, :dims]))), int(self.ids[r])) for r in others)[:k]
             found.append((np.array([n for _, n in scored], np.int64), np.array([-s for s, _ in scored], object)))
         return found
 
@@ -228,21 +252,22 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5) -> DataFrame:
     All rows but those with the query's own id are candidates; fewer than k
     give all of them. Ties go to the smaller id, repeated rows are ranked
     each. Vectors of different lengths are compared over the shorter one.
-    An empty side gives no rows. Repeated query ids are ranked together if
-    their vectors agree and are not supported otherwise. Scores of any size
-    are ranked exactly; one that a long cannot hold is shown as null.
-
-    Query blocks are copied to each of some lanes and index blocks are dealt
-    to one lane each; so every query block meets every index block once, in
-    an equality join of blocks, and neither side is broadcast. Each pair of
+    An empty side gives no rows. Repeated rows of ``queries`` are one query;
+    rows that share an id but not the vector are queries of their own, each
+    with ranks from 1. Scores of any size are ranked exactly; one that a
+    long cannot hold is shown as null.
+
+    Index blocks are dealt round to lanes and query blocks are copied to all
+    of them; so every query block meets every index block once, in an
+    equality join of blocks, and neither side is broadcast. Each pair of
     blocks returns k rows a query.
     """
     spark = vectors.sparkSession
     index = write_table(build_index(vectors), "topk-index")
-    lanes = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = index.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
+    lanes = max(1, min(index.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = index.withColumn("lane", F.pmod("place", F.lit(lanes)).cast("int"))
     packed = pack_queries(queries.distinct()).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    met = dealt.join(packed, "lane").drop("lane")
+    met = dealt.join(packed, "lane").drop("lane", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,20 +276,22 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5) -> DataFrame:
                 ids = np.frombuffer(row["q_ids"], "<i8")
                 q = _opened(row["q_matrix"], row["q_n"], row["q_dims"])
                 got = block.top(ids, q, k)
-                if got:
-                    high, middle, low = _parts(np.concatenate([s for _, s in got]))
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "query_id": pa.array(np.repeat(ids, [len(a) for a, _ in got])),
-                            "vec_id": pa.array(np.concatenate([a for a, _ in got])),
-                            "high": pa.array(high),
-                            "middle": pa.array(middle),
-                            "low": pa.array(low),
-                        }
-                    )
-
-    found = met.mapInArrow(run, "query_id long, vec_id long, high long, middle long, low long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("middle"), F.desc("low"), "vec_id"))
-    fits = ((F.col("high") == 0) & (F.col("middle") < 2)) | ((F.col("high") == -1) & (F.col("middle") >= (1 << PART) - 2))
-    score = F.when(fits, F.shiftleft("middle", PART).bitwiseOR(F.col("low")))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
+                if not got:
+                    continue
+                scores = [x for _, s in got for x in s.tolist()]
+                wide = [_wide(x) for x in scores]
+                sizes = [len(a) for a, _ in got]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "query_id": pa.array(np.repeat(ids, sizes)),
+                        "vector": pa.array(np.repeat([xxhash.xxh3_128_hexdigest(v.tobytes()) for v in q], sizes), pa.string()),
+                        "vec_id": pa.array(np.concatenate([a for a, _ in got])),
+                        "score": pa.array([x if w is None else None for x, (_, w) in zip(scores, wide, strict=True)], pa.int64()),
+                        "side": pa.array([x for x, _ in wide], pa.int32()),
+                        "wide": pa.array([x for _, x in wide], pa.binary()),
+                    }
+                )
+
+    found = met.mapInArrow(run, "query_id long, vector string, vec_id long, score long, side int, wide binary")
+    rank = F.row_number().over(Window.partitionBy("query_id", "vector").orderBy(F.desc("side"), F.desc("wide"), F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
