@@ -3,6 +3,9 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from tidemark.operators import billing as ops
 from tidemark.sources import ndjson
 
@@ -60,6 +63,38 @@ def test_the_gate_and_the_chain_are_a_fold(spark):
     assert {r["event_id"]: r["balance_after"] for r in free.collect()} == running
 
 
+def test_attempts_follow_each_other(spark):
+    """A failed attempt leaves no trace; the first that the balance covers books the id, at its own price and plan."""
+    rows = [
+        ("1", "t", "x", 1, 1, 5, None, "unknown"), ("1", "t", "a", 2, 1, 5, None, "known"), ("1", "t", "a", 3, 1, 6, None, "late"),
+        ("2", "t", "a", 4, 1, 500, None, "dear"), ("2", "t", "a", 5, 1, 400, None, "less dear"), ("2", "t", "a", 6, 3, 0, "basic", "fits"), ("2", "t", "b", 7, 1, 1, None, "elsewhere"),
+        ("3", "t", "b", 8, 1, 60, None, "one"), ("4", "t", "b", 9, 1, 60, None, "two"), ("4", "t", "b", 10, 1, 60, None, "same again"),
+    ]
+    events, accounts, plans = _frames(spark, rows)
+    found = ops.booked_ledger(ops.bookable(events, accounts, plans), carry=("metadata", "unit")).collect()
+    assert sorted((r["event_id"], r["metadata"], r["unit"], r["booked"], r["balance_after"], r["reason"]) for r in found) == [
+        ("1", "known", None, True, 95, None), ("2", "dear", None, False, 95, "insufficient_credits"), ("2", "fits", "token", True, 74, None),
+        ("2", "less dear", None, False, 95, "insufficient_credits"), ("3", "one", None, True, 40, None), ("4", "two", None, False, 40, "insufficient_credits"),
+    ]
+
+
+def test_overdraft_ends_where_a_long_does(spark):
+    big = 2**62
+    events, accounts, plans = _frames(spark, [(str(k), "t", "a", k, big, 1, None, None) for k in range(4)] + [("b", "t", "b", 1, 1, 1, None, None)], credit=0)
+    rows = {r["event_id"]: (r["booked"], r["balance_after"], r["reason"]) for r in ops.booked_ledger(ops.bookable(events, accounts, plans), allow_overdraft=True).collect()}
+    assert rows == {"0": (True, -big, None), "1": (True, -2 * big, None), "2": (False, -2 * big, "overflow"), "3": (False, -2 * big, "overflow"), "b": (True, -1, None)}
+
+
+def test_a_changed_event_breaks_the_chain(spark):
+    events, accounts, plans = _frames(spark, [(str(k), "t", "a", k, 1, 1, None, None) for k in range(5)])
+    ledger = ops.booked_ledger(ops.bookable(events, accounts, plans))
+    for column, value, linked, sealed in (("units", 9, {0, 1, 2, 3, 4}, {0, 1, 3, 4}), ("hash", "0", {0, 1, 2, 4}, {0, 1, 3, 4}), ("prev_hash", "0", {0, 1, 3, 4}, {0, 1, 3, 4})):
+        changed = ledger.withColumn(column, F.when(F.col("event_id") == "2", F.lit(value)).otherwise(F.col(column)))
+        checked = ops.verify_chain(changed).collect()
+        assert {int(r["event_id"]) for r in checked if r["linked"]} == linked and {int(r["event_id"]) for r in checked if r["sealed"]} == sealed
+    assert {int(r["event_id"]): r["linked"] for r in ops.verify_chain(ledger.where("event_id <> '2'")).collect()}[3] is False
+
+
 def test_empty_ledger(spark):
     events, accounts, plans = _frames(spark, [])
     assert ops.booked_ledger(ops.bookable(events, accounts, plans)).count() == 0
@@ -74,8 +109,19 @@ def test_pages_follow_a_position(spark):
 
 
 def test_export_returns_as_it_was(spark, tmp_path):
-    events, _, _ = _frames(spark, [("1", "t", "a", 1_700_000_000_123_456_789, 3, 0, "basic", '{"k":1}'), ("2", "t", "b", 5, 1, 2, None, None)])
+    events, _, _ = _frames(spark, [("1", "t", "a", 1_700_000_000_123_456_789, 3, 0, "basic", '{"k":1}'), ("2", "t", "b", 5, 1, 2, None, None), ("3", "t", "b", 1_699_999_999_999_999_999, 1, 2, None, None), ("4", "t", "b", 951_782_399_999_999_999, 1, 2, None, None)])
     ndjson.write_events(events, f"{tmp_path}/out")
     (tmp_path / "out" / "cursor.txt").write_text('\n{"type":"cursor","next":"x"}\n')
+    lines = {r["line"] for r in ndjson.event_lines(events).select("line").collect()}
+    assert any('"timestamp":"2023-11-14T22:13:19.999999999Z"' in x for x in lines) and any('"timestamp":"2000-02-28T23:59:59.999999999Z"' in x for x in lines)
     back = ndjson.read_events(spark, f"{tmp_path}/out")
     assert sorted(map(tuple, back.select(*events.columns).collect())) == sorted(map(tuple, events.collect()))
+
+
+def test_malformed_lines_fail_or_are_invalid(spark, tmp_path):
+    (tmp_path / "in.json").write_text('{"id":"1","tenant":"t","account_id":"a","timestamp":"1970-01-01T00:00:00.000000007Z","units":1}\n{"id": 2, broken\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        ndjson.read_events(spark, f"{tmp_path}/in.json").collect()
+    rows = ndjson.read_events(spark, f"{tmp_path}/in.json", strict=False)
+    assert sorted(str(r["event_id"]) for r in rows.collect()) == ["1", "None"]
+    assert rows.where(ops.valid(rows)).count() == 1

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from tidemark.engine import VectorTable
-from tidemark.errors import AccountNotFound, Conflict, InvalidArgument, PricePlanNotFound, VectorNotFound
+from tidemark.errors import AccountNotFound, Conflict, InvalidArgument, OutOfRange, PricePlanNotFound, VectorNotFound
 from tidemark.ledger import Ledger
 
 EVENT = "event_id string, tenant string, account_id string, ts_nanos long, units long, unit_price long, plan_id string, metadata string"
@@ -33,6 +33,29 @@ def test_usage_is_booked_once_and_chained_over_batches(spark, books):
     assert books.export("t").count() == 3 and books.export("other").count() == 0
 
 
+def test_amounts_stay_within_a_long(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/t")
+    ledger.create_account("t", "a")
+    ledger.credit_account("t", "a", 2**62 + 5)
+    with pytest.raises(OutOfRange):
+        ledger.credit_account("t", "a", 2**62 + 5)
+    assert ledger.balance("t", "a") == 2**62 + 5
+
+
+def test_attempts_times_and_the_first_error(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/t")
+    ledger.create_account("t", "a")
+    ledger.credit_account("t", "a", 100)
+    rows = [("e1", "t", "x", 1, 1, 5, None, None), ("e1", "t", "a", 2, 1, 5, None, "kept"), ("e2", "t", "a", 3, 1, 900, None, None), ("e2", "t", "a", 4, 1, 9, None, "own"), ("e2", "t", "a", 5, 1, 8, None, None)]
+    events = spark.createDataFrame(rows, EVENT)
+    assert ledger.record_usage(events.where("ts_nanos > 1"), stop_at_error=True) == {"imported": 1, "skipped": 0, "rejected": 3}
+    assert ledger.record_usage(events) == {"imported": 1, "skipped": 3, "rejected": 1}
+    assert {r["event_id"]: (r["metadata"], r["cost"]) for r in ledger.usage().collect()} == {"e1": ("kept", 5), "e2": ("own", 9)}
+    late = spark.createDataFrame([("e3", "t", "a", None, 1, 10_000, None, None)], EVENT)
+    assert ledger.record_usage(late) == {"imported": 0, "skipped": 0, "rejected": 1}
+    assert [tuple(r) for r in ledger.rejects(late).collect()] == [("e3", "insufficient_credits")]
+
+
 def test_errors(books):
     with pytest.raises(Conflict):
         books.create_account("t", "a")

@@ -21,6 +21,10 @@ class InvalidArgument(EngineError):
     """An argument outside its domain."""
 
 
+class OutOfRange(EngineError):
+    """An amount that a long cannot hold."""
+
+
 class ValueTooLarge(EngineError):
     """A value of the page is larger than the caller allows."""
 

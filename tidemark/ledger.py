@@ -11,7 +11,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.errors import AccountNotFound, Conflict, InvalidArgument, PricePlanNotFound
+from tidemark.errors import AccountNotFound, Conflict, InvalidArgument, OutOfRange, PricePlanNotFound
 from tidemark.operators import billing
 from tidemark.sources.table_store import TableStore
 
@@ -78,12 +78,12 @@ class Ledger:
         return row
 
     def credit_account(self, tenant: str, account_id: str, amount: int) -> int:
-        """Add credit; credits are rows of the ledger, so that balances can be rebuilt."""
+        """Add credit, unless the balance would leave a long; credits are rows of the ledger, so that balances can be rebuilt."""
         if amount <= 0:
             raise InvalidArgument("amount must be above 0")
         base = self.table.version()
-        if not self._account(tenant, account_id, base):
-            raise AccountNotFound(f"{tenant}/{account_id}")
+        if self.balance(tenant, account_id, base) + amount >= 1 << 63:
+            raise OutOfRange(f"credit of {amount}")
         return self._append(base, self._one(kind="credit", id=account_id, tenant=tenant, account_id=account_id, ts_nanos=now_nanos(), amount=amount))
 
     def balances(self, version: int | None = None) -> DataFrame:
@@ -92,11 +92,11 @@ class Ledger:
         change = F.when(F.col("kind") == "credit", F.col("amount")).when(F.col("kind") == "usage", -F.col("cost")).otherwise(F.lit(0))
         # The chain follows the order of booking: by version, then by time within a batch.
         last = F.max_by(F.col("hash"), F.when(F.col("kind") == "usage", F.struct("version", "ts_nanos", "id")))
-        found = rows.groupBy(*billing.ACCOUNT).agg(F.sum(change).cast("long").alias("balance"), F.coalesce(last, F.lit("")).alias("last_hash"), F.count_if(F.col("kind") == "account").alias("n"))
+        found = rows.groupBy(*billing.ACCOUNT).agg(F.sum(change.cast("decimal(38,0)")).cast("long").alias("balance"), F.coalesce(last, F.lit("")).alias("last_hash"), F.count_if(F.col("kind") == "account").alias("n"))
         return found.where("n > 0").drop("n")
 
-    def balance(self, tenant: str, account_id: str) -> int:
-        row = self.balances().where((F.col("tenant") == tenant) & (F.col("account_id") == account_id)).head()
+    def balance(self, tenant: str, account_id: str, version: int | None = None) -> int:
+        row = self.balances(version).where((F.col("tenant") == tenant) & (F.col("account_id") == account_id)).head()
         if row is None:
             raise AccountNotFound(f"{tenant}/{account_id}")
         return row["balance"]
@@ -120,36 +120,49 @@ class Ledger:
 
     # -- usage ---------------------------------------------------------------------------------
 
-    def record_usage(self, events: DataFrame) -> dict:
+    def record_usage(self, events: DataFrame, *, stop_at_error: bool = False) -> dict:
         """Book a batch of events (the columns ``EVENT``); returns how many were imported, skipped and rejected.
 
-        An id that is booked already, or that comes again in the batch, is
-        skipped. A missing time is that of the call. Events are booked in the
-        order of (ts_nanos, event_id) of the batch; ``rejects`` tells why
-        others are not.
+        An id that is booked already, or that comes again after it was
+        booked, is skipped. A missing time is that of the call. Events are
+        booked in the order of (ts_nanos, event_id) of the batch, one attempt
+        after the other, see ``billing.attempts``; ``rejects`` tells why
+        others are not. With ``stop_at_error`` only what comes before the
+        first failing event of that order is booked.
         """
         base, at = self.table.version(), now_nanos()
-        incoming = events.withColumn("ts_nanos", F.coalesce("ts_nanos", F.lit(at))).select(*EVENT)
+        incoming = self._timed(events, at).select(*EVENT)
         usage = self._rows("usage", base).select(F.col("id").alias("event_id"))
         accounts = self.balances(base).withColumnRenamed("balance", "credit")
-        ready = billing.bookable(incoming, accounts.select(*billing.ACCOUNT, "credit"), self.price_plans(base), usage)
+        plans = self.price_plans(base)
+        ready = billing.bookable(incoming, accounts.select(*billing.ACCOUNT, "credit"), plans, usage)
         ready = ready.join(accounts.select(*billing.ACCOUNT, "last_hash"), list(billing.ACCOUNT))
-        booked = billing.booked_ledger(ready, allow_overdraft=self.allow_overdraft).where("booked")
-        extra = incoming.dropDuplicates(["event_id"]).select("event_id", "unit_price", "plan_id", "metadata")
-        rows = booked.join(extra, "event_id").join(self.price_plans(base).select("plan_id", "unit"), "plan_id", "left")
-        rows = rows.withColumnsRenamed({"event_id": "id"}).withColumn("kind", F.lit("usage"))
-        part = self.table.stage(self._full(rows, base))
+        tried = billing.booked_ledger(ready, allow_overdraft=self.allow_overdraft, carry=("unit_price", "plan_id", "unit", "metadata"))
+        rows = tried.where("booked")
+        if stop_at_error:
+            failed = billing.reject_reasons(incoming.join(usage, "event_id", "left_anti"), accounts, plans, "ts_nanos").select("ts_nanos", "event_id")
+            first = failed.unionByName(tried.where("not booked").select("ts_nanos", "event_id")).agg(F.min(F.struct("ts_nanos", "event_id")).alias("p")).head()["p"]
+            if first is not None:
+                rows = rows.where(F.struct("ts_nanos", "event_id") < F.struct(F.lit(first["ts_nanos"]).alias("ts_nanos"), F.lit(first["event_id"]).alias("event_id")))
+        part = self.table.stage(self._full(rows.withColumnsRenamed({"event_id": "id"}).withColumn("kind", F.lit("usage")), base))
         self.table.commit(base, [*self.table.manifest(base)["parts"], part])
-        imported = self._rows("usage", base + 1).where(F.col("version") == base + 1).count()
-        total = incoming.count()
-        known = incoming.select("event_id").distinct()
-        skipped = total - known.count() + known.join(usage, "event_id", "left_semi").count()
-        return {"imported": imported, "skipped": skipped, "rejected": total - imported - skipped}
+        new = self._rows("usage", base + 1).where(F.col("version") == base + 1).select(F.col("id").alias("event_id"))
+        imported, total = new.count(), incoming.count()
+        skipped = incoming.join(usage.unionByName(new), "event_id", "left_semi").count() - imported
+        if not imported and not skipped:
+            return {"imported": 0, "skipped": 0, "rejected": total}
+        # Attempts of an id before the one that was booked failed; later ones were skipped.
+        earlier = incoming.join(rows.select("event_id", F.struct("ts_nanos", *billing.ACCOUNT).alias("booked_at")), "event_id").where(F.struct("ts_nanos", *billing.ACCOUNT) < F.col("booked_at")).count()
+        return {"imported": imported, "skipped": skipped - earlier, "rejected": total - imported - skipped + earlier}
+
+    @staticmethod
+    def _timed(events: DataFrame, at: int) -> DataFrame:
+        return events.withColumn("ts_nanos", F.coalesce("ts_nanos", F.lit(at)))
 
     def rejects(self, events: DataFrame) -> DataFrame:
         """Rows (event_id, reason) of events that are not booked: a failed check, or ``insufficient_credits``."""
         plans, accounts = self.price_plans(), self.balances()
-        reasons = billing.reject_reasons(events, accounts, plans)
+        reasons = billing.reject_reasons(self._timed(events, now_nanos()), accounts, plans)
         missing = events.select("event_id").distinct().join(self._rows("usage").select(F.col("id").alias("event_id")), "event_id", "left_anti")
         short = missing.join(reasons, "event_id", "left_anti").withColumn("reason", F.lit("insufficient_credits"))
         return reasons.join(missing, "event_id", "left_semi").distinct().unionByName(short)

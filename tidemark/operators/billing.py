@@ -56,8 +56,8 @@ def priced(events: DataFrame, plans: DataFrame) -> DataFrame:
     return joined.withColumn("price", price).withColumn("cost", F.try_multiply(F.col("units"), F.col("price")))
 
 
-def reject_reasons(events: DataFrame, accounts: DataFrame, plans: DataFrame) -> DataFrame:
-    """Rows (event_id, reason) of all events that fail before their account's balance counts."""
+def reject_reasons(events: DataFrame, accounts: DataFrame, plans: DataFrame, *carry: str) -> DataFrame:
+    """Rows (event_id, ``carry``, reason) of all events that fail before their account's balance counts."""
     marked = priced(events, plans).join(accounts.select(*ACCOUNT, F.lit(True).alias("known")), list(ACCOUNT), "left")
     reason = (
         F.when(~valid(events), "invalid")
@@ -65,18 +65,47 @@ def reject_reasons(events: DataFrame, accounts: DataFrame, plans: DataFrame) ->
         .when(F.col("price").isNull(), "price_plan_not_found")
         .when(F.col("cost").isNull(), "overflow")
     )
-    return marked.select("event_id", reason.alias("reason")).where("reason is not null")
+    return marked.select("event_id", *carry, reason.alias("reason")).where("reason is not null")
+
+
+def attempts(events: DataFrame) -> DataFrame:
+    """The rows of priced ``events`` that may change the ledger, with ``again``: does their id have another such row?
+
+    An id is booked once, by the first of its attempts that the balance
+    covers; one that fails leaves no trace, so that a later one may succeed.
+    As a balance only falls within a batch, an attempt counts only if it
+    costs less than all earlier ones of its id. An id belongs to the account
+    of its earliest attempt; rows of the same id at other accounts are
+    repeats. Repeated rows are reduced by partial minima first, so that
+    copies of one event make no hot task.
+    """
+    key = ("event_id", *ACCOUNT, "cost")
+    rest = [c for c in events.columns if c not in key]
+    first = F.min_by(F.struct(*rest), F.struct("ts_nanos", *(c for c in rest if c != "ts_nanos")))
+    rows = events.groupBy(*key).agg(first.alias("e")).select(*key, "e.*")
+    turn = Window.partitionBy("event_id").orderBy("ts_nanos", *ACCOUNT, "cost")
+    before = turn.rowsBetween(Window.unboundedPreceding, -1)
+    home = F.first(F.struct(*ACCOUNT)).over(turn)
+    rows = rows.withColumn("mine", home == F.struct(*ACCOUNT)).withColumn("least", F.min("cost").over(before))
+    rows = rows.where(F.col("mine") & (F.col("least").isNull() | (F.col("cost") < F.col("least")))).drop("mine", "least")
+    return rows.withColumn("again", F.count("*").over(Window.partitionBy("event_id")) > 1).select(*events.columns, "again")
 
 
 def bookable(events: DataFrame, accounts: DataFrame, plans: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Priced events that may be booked, each once, with the ``credit`` of their account."""
-    rows = first_events(events.where(valid(events)), ledger).join(accounts.select(*ACCOUNT, "credit"), list(ACCOUNT))
-    return priced(rows, plans).where("cost is not null")
+    """Priced ``attempts`` that may be booked, with the ``credit`` of their account; none whose id ``ledger`` holds.
+
+    Rows without account, price or a cost that a long can hold fail before
+    ids are compared, as they leave no trace.
+    """
+    rows = events.where(valid(events))
+    if ledger is not None:
+        rows = rows.join(ledger.select("event_id"), "event_id", "left_anti")
+    return attempts(priced(rows.join(accounts.select(*ACCOUNT, "credit"), list(ACCOUNT)), plans).where("cost is not null"))
 
 
 def balances(bookings: DataFrame, accounts: DataFrame) -> DataFrame:
     """Rows (tenant, account_id, balance): credit less booked cost, for every account."""
-    spent = bookings.groupBy(*ACCOUNT).agg(F.sum("cost").alias("spent"))
+    spent = bookings.groupBy(*ACCOUNT).agg(F.sum(F.col("cost").cast("decimal(38,0)")).alias("spent"))
     joined = accounts.join(spent, list(ACCOUNT), "left")
     return joined.select(*ACCOUNT, (F.col("credit") - F.coalesce("spent", F.lit(0))).cast("long").alias("balance"))
 
@@ -92,42 +121,57 @@ def chain_input(event_id, tenant, account, nanos, units, price, cost, before) ->
     return f"{event_id}|{tenant}|{account}|{nanos}|{units}|{price}|{cost}|{before}"
 
 
-_BOOKED = "event_id string, tenant string, account_id string, ts_nanos long, units long, price long, cost long, booked boolean, balance_after long, prev_hash string, hash string"
+_BOOKED = "event_id string, tenant string, account_id string, ts_nanos long, units long, price long, cost long, booked boolean, balance_after long, prev_hash string, hash string, reason string"
+#: The least long: a balance cannot fall below it.
+LEAST = -(1 << 63)
 
 
-def booked_ledger(bookings: DataFrame, *, allow_overdraft: bool = False) -> DataFrame:
-    """The ledger with its gate and hash chain: all bookings, ``booked`` false where the balance did not cover the cost.
+def booked_ledger(bookings: DataFrame, *, allow_overdraft: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The ledger with its gate and hash chain: ``booked`` is false where the balance did not cover the cost, and ``reason`` tells why.
 
     Whether an event is booked depends on which were before, so that an
     account is a fold in order. Rows stream through a task in sorted order,
     with the state of one account at a time: memory does not grow with an
-    account, and a hot one costs time in one task but nothing else. Events
-    that are not booked keep the balance and stand outside the chain. With a
-    column ``last_hash``, the chain goes on from there.
+    account but for the ids of which it holds several ``attempts``; a hot one
+    costs time in one task but nothing else. Attempts of an id that is booked
+    by then give no row. Events that are not booked keep the balance and
+    stand outside the chain. With a column ``last_hash``, the chain goes on
+    from there. Columns in ``carry`` are those of the attempt itself.
     """
-    columns = ("event_id", *ACCOUNT, "ts_nanos", "units", "price", "cost", "credit", "last_hash")
-    if "last_hash" not in bookings.columns:
-        bookings = bookings.withColumn("last_hash", F.lit(""))
-    rows = bookings.select(*columns).repartition(*ACCOUNT).sortWithinPartitions(*ACCOUNT, *ORDER)
+    columns = ("event_id", *ACCOUNT, "ts_nanos", "units", "price", "cost", "credit", "last_hash", "again")
+    for name, default in (("last_hash", F.lit("")), ("again", F.lit(False))):
+        if name not in bookings.columns:
+            bookings = bookings.withColumn(name, default)
+    rows = bookings.select(*columns, *carry).repartition(*ACCOUNT).sortWithinPartitions(*ACCOUNT, *ORDER, F.desc("cost"))
+    names = [f.split()[0] for f in _BOOKED.split(", ")]
+    types = [pa.string()] * 3 + [pa.int64()] * 4 + [pa.bool_(), pa.int64()] + [pa.string()] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        account, balance, last = None, 0, ""
+        account, balance, last, done = None, 0, "", set()
         for batch in batches:
-            out = []
-            for e, t, a, ns, units, price, cost, credit, before in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            out, kept = [], []
+            for k, (e, t, a, ns, units, price, cost, credit, before, again) in enumerate(zip(*(batch.column(c).to_pylist() for c in columns), strict=True)):
                 if (t, a) != account:
-                    account, balance, last = (t, a), credit, before
-                if cost <= balance or allow_overdraft:
+                    account, balance, last, done = (t, a), credit, before, set()
+                if again and e in done:
+                    continue
+                reason = "overflow" if balance - cost < LEAST else "insufficient_credits" if cost > balance and not allow_overdraft else None
+                booked = reason is None
+                prev = h = None
+                if booked:
                     balance -= cost
-                    h = hashlib.sha256(chain_input(e, t, a, ns, units, price, cost, last).encode()).hexdigest()
-                    out.append((e, t, a, ns, units, price, cost, True, balance, last, h))
+                    prev, h = last, hashlib.sha256(chain_input(e, t, a, ns, units, price, cost, last).encode()).hexdigest()
                     last = h
-                else:
-                    out.append((e, t, a, ns, units, price, cost, False, balance, None, None))
-            types = [pa.string()] * 3 + [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], k) for k in types], names=[f.split()[0] for f in _BOOKED.split(", ")])
-
-    return rows.mapInArrow(run, _BOOKED)
+                    if again:
+                        done.add(e)
+                kept.append(k)
+                out.append((e, t, a, ns, units, price, cost, booked, balance, prev, h, reason))
+            found = [pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], k) for k in types]
+            at = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays(found + [batch.column(c).take(at) for c in carry], names=names + list(carry))
+
+    extra = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, _BOOKED + extra)
 
 
 def verify_chain(ledger: DataFrame, *, order: tuple[str, ...] = ORDER) -> DataFrame:

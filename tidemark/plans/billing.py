@@ -31,6 +31,21 @@ fold as (
     case when r.cost <= f.balance_after then sha256(concat_ws('|', r.event_id, r.tenant, r.account_id, r.ts_nanos, r.units, r.price, r.cost, f.last)) else f.last end
   from fold f join numbered r on r.tenant = f.tenant and r.account_id = f.account_id and r.n = f.n + 1)"""
 
+#: Each event is tried twice more: before, by an account that is unknown and at a cost that no credit covers; and it comes again.
+TRIED_USAGE = USAGE.replace("usage as (", "once as (", 1) + """, usage as (select * from once
+  union all select event_id, tenant, 'none', ts_nanos - 2, units, unit_price, plan_id, metadata from once
+  union all select event_id, tenant, account_id, ts_nanos - 1, units * 10000000, unit_price, 'click', metadata from once
+  union all select event_id, tenant, account_id, ts_nanos + 1, units, unit_price, plan_id, metadata from once)"""
+TRIED = LEDGER.replace(USAGE, TRIED_USAGE).replace("numbered as (select *,", """turns as (select *, min(cost) over (partition by event_id order by ts_nanos rows between unbounded preceding and 1 preceding) as least from bookable),
+numbered as (select * exclude (least),""", 1).replace("from bookable),\nfold", "from turns where least is null or cost < least),\nfold", 1)
+
+
+def _tried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = usage_events(spark, sf_dir)
+    at = lambda n: once.withColumn("ts_nanos", F.col("ts_nanos") + n)
+    dear = at(-1).withColumn("units", F.col("units") * 10_000_000).withColumn("plan_id", F.lit("click"))
+    return once.unionByName(at(-2).withColumn("account_id", F.lit("none"))).unionByName(dear).unionByName(at(1))
+
 
 def _bookable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.bookable(usage_events(spark, sf_dir), accounts(spark, sf_dir), price_plans(spark))
@@ -85,6 +100,13 @@ def bill_gated_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(spark, sf_dir).select("event_id", "tenant", "account_id", "cost", "booked", "balance_after")
 
 
+@query(f"with recursive {TRIED} select event_id, cost, booked, balance_after::BIGINT as balance_after, case when not booked then 'insufficient_credits' end as reason from fold")
+def bill_attempted_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event whose first attempts fail is booked by a later one, and then no more."""
+    tried = ops.bookable(_tried(spark, sf_dir), accounts(spark, sf_dir), price_plans(spark))
+    return ops.booked_ledger(tried).select("event_id", "cost", "booked", "balance_after", "reason")
+
+
 @query(f"with recursive {LEDGER} select event_id, prev_hash, hash from fold where booked")
 def bill_hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(spark, sf_dir).where("booked").select("event_id", "prev_hash", "hash")

@@ -8,39 +8,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans.billing import USAGE
+from tidemark.plans.billing import LEDGER, USAGE
 from tidemark.plans.registry import query
-from tidemark.sources.tables import accounts, price_plans, usage_events
+from tidemark.sources.tables import accounts, events_stream, price_plans, usage_of
 from tidemark.streaming.ledger import stream_ledger, windowed_usage
 
 
-def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-
-    class _Reader:
-        """Lets the batch definition of the usage events read the files as a stream."""
-
-        class read:  # noqa: N801
-            @staticmethod
-            def parquet(path: str) -> DataFrame:
-                folder, name = path.rsplit("/", 1)
-                return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-
-    return usage_events(_Reader, sf_dir)
-
-
 def _finish(spark: SparkSession, rows: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and read what it wrote."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-stream-')}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-stream-')}"
     base = f"{root}/stream-{uuid.uuid4().hex}"
     writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state")
     writer.format("parquet").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{base}/out")
 
 
-@query()
+@query(f"with recursive {LEDGER} select event_id, tenant, account_id, cost, booked, balance_after::BIGINT as balance_after, hash from fold")
 def stream_gated_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stream_ledger(_events_stream(spark, sf_dir), accounts(spark, sf_dir), price_plans(spark))
+    rows = stream_ledger(usage_of(events_stream(spark, sf_dir)), accounts(spark, sf_dir), price_plans(spark))
     return _finish(spark, rows).select("event_id", "tenant", "account_id", "cost", "booked", "balance_after", "hash")
 
 
@@ -49,5 +38,5 @@ def stream_gated_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 select tenant, day, units, n from days, late where (day + 1) * 86400000000 <= top - 3600000000""")
 def stream_windowed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed windows only: the last one is still open when the files end."""
-    done = _finish(spark, windowed_usage(_events_stream(spark, sf_dir)))
+    done = _finish(spark, windowed_usage(usage_of(events_stream(spark, sf_dir))))
     return done.select("tenant", F.expr("unix_seconds(w.start) div 86400").alias("day"), "units", "n")

@@ -1,8 +1,10 @@
 """A versioned table: Parquet files and one manifest for each version.
 
 A writer stages its files, then publishes the next manifest by a rename that
-fails if another writer was first. Readers pin a version; files are removed
-only by ``sweep``. All paths go through Hadoop's file systems.
+fails if another writer was first. That is atomic on stores whose rename
+does not replace a file (HDFS); elsewhere let one writer at a time commit.
+Readers pin a version; files are removed only by ``sweep``. All paths go
+through Hadoop's file systems.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ class TableStore:
     """A table under ``path`` whose versions are lists of Parquet folders."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
-        if not path or ".." in path:
+        if not path or ".." in path.split("/"):
             raise InvalidArgument(f"path {path!r}")
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         jvm = spark._jvm
@@ -50,13 +52,15 @@ class TableStore:
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, by default the last."""
-        parts = self.manifest(version)["parts"]
+        return self.read_parts(self.manifest(version)["parts"])
+
+    def read_parts(self, parts: list[str]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/data/{p}" for p in parts)) if parts else self.spark.createDataFrame([], self.schema)
 
-    def stage(self, rows: DataFrame, *, bloom: str | None = None) -> str:
+    def stage(self, rows: DataFrame, *, bloom: str | None = None, rows_per_file: int = 0) -> str:
         """Write files that no version lists yet."""
         part = uuid.uuid4().hex
-        writer = rows.write
+        writer = rows.write.option("maxRecordsPerFile", rows_per_file)
         if bloom:
             writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
         writer.parquet(f"{self.path}/data/{part}")

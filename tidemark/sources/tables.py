@@ -19,10 +19,20 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of the files that are there."""
+    schema = events(spark, sf_dir).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (event_id, tenant, account_id, ts_nanos, units, unit_price, plan_id, metadata); price 0 asks for the plan's."""
+    return usage_of(events(spark, sf_dir))
+
+
+def usage_of(rows: DataFrame) -> DataFrame:
+    """Rows (event_id, tenant, account_id, ts_nanos, units, unit_price, plan_id, metadata) of event rows; price 0 asks for the plan's."""
     nanos = F.unix_micros(F.col("ts").cast("timestamp")) * F.lit(1000).cast("long")
-    return events(spark, sf_dir).select(
+    return rows.select(
         F.col("event_id").cast("string").alias("event_id"),
         F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("tenant"),
         F.col("user_id").cast("string").alias("account_id"),

@@ -38,11 +38,15 @@ def _book(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
 def stream_ledger(events: DataFrame, accounts: DataFrame, plans: DataFrame) -> DataFrame:
     """Bookings of a stream of usage events, as they arrive.
 
-    An event id is booked once, whatever its tenant, before rows are keyed by
-    account; the state of an account is its balance and last hash.
+    Rows without account or price leave no trace; of the others, an event
+    id has one attempt, whatever its tenant, before rows are keyed by
+    account. One that the balance does not cover is not tried again: unlike
+    the batch ledger, which compares all attempts of an id. The ids are kept
+    for good, as a ledger must know them; the state of an account is its
+    balance and last hash.
     """
-    known = events.where(valid(events)).dropDuplicates(["event_id"]).join(accounts.select(*ACCOUNT, "credit"), list(ACCOUNT))
-    rows = priced(known, plans).where("cost is not null").select("event_id", *ACCOUNT, "ts_nanos", "units", "price", "cost", "credit")
+    known = events.where(valid(events)).join(accounts.select(*ACCOUNT, "credit"), list(ACCOUNT))
+    rows = priced(known, plans).where("cost is not null").select("event_id", *ACCOUNT, "ts_nanos", "units", "price", "cost", "credit").dropDuplicates(["event_id"])
     return rows.groupBy(*ACCOUNT).applyInPandasWithState(_book, BOOKED, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
