@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -7,7 +9,7 @@ from hypothesis import strategies as st
 from tidemark.engine import Engine
 from tidemark.errors import Conflict, InvalidArgument, KeyNotFound, LimitExceeded, ValueTooLarge
 from tidemark.functions.codec import prefix_end
-from tidemark.operators import maintenance, state
+from tidemark.operators import maintenance, state, transactions
 
 LOG = "seq long, key binary, op string, value binary"
 keys = st.binary(min_size=0, max_size=3)
@@ -109,7 +111,42 @@ def test_flush_batches_of_nothing(spark):
     assert maintenance.flush_batches(log).count() == 0
 
 
-def test_bloom_parameters_are_whole_bytes():
-    for n in (1, 4, 7, 100, 1001):
-        bits, hashes = maintenance.bloom_parameters(n)
-        assert bits % 8 == 0 and bits >= max(64, 10 * n) and hashes >= 1
+def test_oldest_parts_are_merged_and_backed_up(spark, tmp_path):
+    db = Engine(spark, f"file://{tmp_path}/kv")
+    db.load(spark.createDataFrame([(bytearray(bytes([k])), bytearray(b"0")) for k in range(6)], "key binary, value binary"))
+    db.delete(b"\x00")
+    db.put(b"\x01", b"1")
+    db.put(b"\x02", b"2")
+    with pytest.raises(LimitExceeded):
+        db.merge_oldest(3, max_entries=7)
+    assert db.merge_oldest(3, rows_per_file=2)["total"] == 8
+    assert len(db.table.manifest()["parts"]) == 2
+    held = {bytes(r["key"]): bytes(r["value"]) for r in db.state().collect()}
+    assert held == {bytes([k]): {1: b"1", 2: b"2"}.get(k, b"0") for k in range(1, 6)}
+    record = db.backup(f"file://{tmp_path}/saved")
+    assert (record["entries"], record["log_rows"]) == (5, 6)
+    for part in ("snapshot", "log"):
+        copy = Engine(spark, f"file://{tmp_path}/saved/{part}")
+        assert {bytes(r["key"]): bytes(r["value"]) for r in copy.state().collect()} == held
+    assert spark.read.json(f"file://{tmp_path}/saved/backup").head()["version"] == record["version"]
+
+
+def test_long_scans_go_page_by_page(spark):
+    log = _log(spark, [(bytes([k]), b"v") for k in range(20)] + [(bytes([3]), None)])
+    rows = list(state.stream_pages(log, state.ScanRequest(15), page_rows=4))
+    assert [bytes(r["key"])[0] for r in rows] == [k for k in range(20) if k != 3][:15]
+
+
+def test_a_log_is_validated_against_all_that_came_before(spark):
+    """Whatever the blocks that a key is split into."""
+    rng = random.Random(6)
+    ops = [(seq, seq // 3, rng.choice("aab"), rng.choice(["put", "delete"])) for seq in range(60)]
+    frame = spark.createDataFrame(ops, "seq long, txn_id long, key string, op string")
+    want, last = {}, {}
+    for _, t, key, op in ops:
+        bad = op == "delete" and last.get(key, "delete") == "delete"
+        want[t] = want.get(t, 0) + bad
+        last[key] = op
+    for block in (1, 7, 1 << 20):
+        got = {r["txn_id"]: (r["bad_deletes"], r["status"]) for r in transactions.validate_log(frame, block=block).collect()}
+        assert got == {t: (n, "aborted" if n else "committed") for t, n in want.items()}

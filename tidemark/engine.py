@@ -107,9 +107,42 @@ class Engine:
         self.table.replace(rows, base, bloom="key")
         return stats
 
+    def merge_oldest(self, parts: int, *, max_entries: int = 0, rows_per_file: int = 0) -> dict:
+        """Merge the ``parts`` oldest folders of the last version into one; the newer ones stay as they are.
+
+        Rows keep their seq. As no older rows exist, deletes are dropped as
+        well. ``rows_per_file`` bounds the files that are written.
+        """
+        if parts < 2 or max_entries < 0 or rows_per_file < 0:
+            raise InvalidArgument("two parts or more, limits of 0 (none) or more")
+        base = self.table.version()
+        listed = self.table.manifest(base)["parts"]
+        oldest = self.table.read_parts(listed[:parts]).withColumn("seq", F.struct("seq", "op_idx"))
+        if max_entries:
+            maintenance.check_limits(oldest, max_entries=max_entries, max_bytes=1 << 62)
+        stats = maintenance.compact_stats(oldest).head().asDict()
+        rows = maintenance.compacted(oldest).select(F.col("seq.seq").alias("seq"), F.col("seq.op_idx").alias("op_idx"), "key", "op", "value")
+        self.table.commit(base, [self.table.stage(rows, bloom="key", rows_per_file=rows_per_file), *listed[parts:]])
+        return stats
+
     def snapshot(self, path: str) -> dict:
         return self.table.snapshot(path)
 
+    def backup(self, path: str) -> dict:
+        """Copy the last version's live rows (``snapshot``) and whole log (``log``) to ``path``, with a record of both in ``backup``.
+
+        The record comes last: without it a backup is not complete.
+        """
+        base = self.table.version()
+        snapshot, log = f"{path}/snapshot", f"{path}/log"
+        copy = TableStore(self.spark, snapshot, CHANGELOG)
+        rows = maintenance.compacted(self._log(base)).select(F.col("seq.seq").alias("seq"), F.col("seq.op_idx").alias("op_idx"), "key", "op", "value")
+        copy.commit(0, [copy.stage(rows)])
+        self.table.snapshot(log, base)
+        record = {"version": base, "snapshot": snapshot, "log": log, "entries": copy.read().count(), "log_rows": self._log(base).count()}
+        self.spark.createDataFrame([tuple(record.values())], "version long, snapshot string, log string, entries long, log_rows long").coalesce(1).write.json(f"{path}/backup")
+        return record
+
 
 VECTORS = "seq long, id string, op string, values array<double>, metadata string"
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -84,13 +83,6 @@ def segment_ranges(changelog: DataFrame, bucket: Column) -> DataFrame:
     return changelog.groupBy(bucket.alias("bucket")).agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count("*").alias("entries"))
 
 
-def bloom_parameters(entries: int, bits_per_key: float = 10.0) -> tuple[int, int]:
-    """Bits and hash functions of a filter: at least 64 bits, whole bytes."""
-    bits = max(64, math.ceil(entries * bits_per_key))
-    bits = -(-bits // 8) * 8
-    return bits, max(1, round(bits / max(1, entries) * math.log(2)))
-
-
 def snapshot_entries(changelog: DataFrame) -> DataFrame:
     """One row (entries, bytes) of what a snapshot holds: live rows only."""
     return live(changelog).agg(F.count("*").alias("entries"), F.coalesce(F.sum(entry_bytes()), F.lit(0)).cast("long").alias("bytes"))

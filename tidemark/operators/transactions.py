@@ -27,6 +27,24 @@ def validate(ops: DataFrame, state: DataFrame) -> DataFrame:
     return joined.groupBy("txn_id").agg(F.count("*").alias("n_ops"), F.count_if(bad).alias("bad_deletes")).withColumn("status", F.when(F.col("bad_deletes") > 0, "aborted").otherwise("committed"))
 
 
+def validate_log(ops: DataFrame, *, block: int = 1 << 20) -> DataFrame:
+    """Rows (txn_id, n_ops, bad_deletes, status): every transaction of a log against the log before it, as it was written.
+
+    A delete is bad if the last earlier operation on its key was a delete or
+    if there is none. Operations are compared within blocks of ``block``
+    numbers of ``seq``; the first of a key in a block takes what the key's
+    earlier blocks ended with, one row a block. So a key that fills much of
+    the log is split by its blocks.
+    """
+    rows = ops.withColumn("block", F.floor(F.col("seq") / block))
+    before = F.lag("op").over(Window.partitionBy("key", "block").orderBy("seq"))
+    ends = rows.groupBy("key", "block").agg(F.max_by("op", "seq").alias("op"))
+    carried = ends.select("key", "block", F.lag("op").over(Window.partitionBy("key").orderBy("block")).alias("carried"))
+    joined = rows.withColumn("before", before).join(carried, ["key", "block"])
+    bad = (F.col("op") == "delete") & (F.coalesce("before", "carried", F.lit("delete")) == "delete")
+    return joined.groupBy("txn_id").agg(F.count("*").alias("n_ops"), F.count_if(bad).alias("bad_deletes")).withColumn("status", F.when(F.col("bad_deletes") > 0, "aborted").otherwise("committed"))
+
+
 def replay(ops: DataFrame, log: DataFrame) -> DataFrame:
     """The state after a crash: committed transactions only, in the order of their commit records."""
     committed = log.where("status = 'committed'").select("txn_id", "commit_seq")

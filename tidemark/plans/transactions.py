@@ -3,28 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.operators import state
 from tidemark.operators import transactions as txn
 from tidemark.plans.kv import LOG
 from tidemark.plans.registry import query
 from tidemark.sources.tables import changelog, transaction_log
 
-#: Rows before this seq make the state that the later transactions are validated on.
-BASE_ROWS = 400
 TXN_LOG = """txns as (select distinct event_id // 4 as txn_id from events),
 statuses as (select txn_id, case txn_id % 5 when 0 then 'aborted' when 1 then 'pending' else 'committed' end as status, txn_id + (txn_id % 3) * 10 as commit_seq from txns)"""
 
 
-@query(f"""with {LOG}, base as (select key from log where seq < {BASE_ROWS} group by key having arg_max(op, seq) <> 'delete'),
-ops as (select *, lag(op) over (partition by txn_id, key order by seq) as before from log where seq >= {BASE_ROWS})
-select txn_id, count(*) as n_ops, count(*) filter (op = 'delete' and coalesce(before, case when b.key is null then 'delete' else 'put' end) = 'delete') as bad_deletes,
-case when count(*) filter (op = 'delete' and coalesce(before, case when b.key is null then 'delete' else 'put' end) = 'delete') > 0 then 'aborted' else 'committed' end as status
-from ops left join base b on b.key = ops.key group by txn_id""")
+@query(f"""with {LOG}, ops as (select *, coalesce(lag(op) over (partition by key order by seq), 'delete') as before from log)
+select txn_id, count(*) as n_ops, count(*) filter (op = 'delete' and before = 'delete') as bad_deletes,
+case when count(*) filter (op = 'delete' and before = 'delete') > 0 then 'aborted' else 'committed' end as status from ops group by txn_id""")
 def txn_sequential_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = changelog(spark, sf_dir)
-    return txn.validate(log.where(F.col("seq") >= BASE_ROWS), state.live(log.where(F.col("seq") < BASE_ROWS)))
+    return txn.validate_log(changelog(spark, sf_dir))
 
 
 @query(f"with {LOG} select txn_id, key, count(*) as n from log group by txn_id, key having count(*) > 1")
