@@ -293,7 +293,7 @@ def _slot(items: np.ndarray) -> np.ndarray:
 
 
 def rare_items(items: DataFrame) -> DataFrame:
-    """Rows (id, item, nth): of each bag of ``items`` (id, items) the rarest ones, so many that two similar bags have one of them in common.
+    """Rows (id, item): of each bag of ``items`` (id, items) the rarest ones, so many that two similar bags have one of them in common.
 
     A bag of n items shares at least ``SIMILARITY`` * n with any similar one,
     so the first common item, in one order for all bags, is among the first
@@ -308,44 +308,51 @@ def rare_items(items: DataFrame) -> DataFrame:
                 x = np.frombuffer(x, "<u8")
                 most = len(x) - math.ceil(SIMILARITY * len(x) - 1e-9) + 1
                 first = x[np.lexsort((x, sent.value[_slot(x)]))[:most]]
-                yield pa.RecordBatch.from_pydict({"id": pa.array([i] * len(first), pa.int64()), "item": pa.array(first.astype(np.int64)), "nth": pa.array(np.arange(len(first)), pa.int64())})
+                yield pa.RecordBatch.from_pydict({"id": pa.array([i] * len(first), pa.int64()), "item": pa.array(first.astype(np.int64))})
 
-    return items.select("id", "items").mapInArrow(run, "id long, item long, nth long")
+    return items.select("id", "items").mapInArrow(run, "id long, item long")
+
+
+def with_partners(members: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``members`` (band, key, id, label), in buckets of two labels or more, whose bag has one of its ``rare_items`` in common with a bag of another label.
+
+    No similar pair of different labels is lost. Texts that share a long
+    passage and else differ are left out here, however many they are.
+    """
+    labelled = members.select("id", "label").distinct()
+    rare = write_table(rare_items(items).join(labelled, "id"), "rare-items")
+    shared = rare.groupBy("item").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("item")
+    met = rare.join(shared, "item").select("id").distinct()
+    left = write_table(members.join(met, "id"), "members-with-partners")
+    drop_tables(rare)
+    still = left.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band", "key", "n")
+    return left.join(still, ["band", "key"])
 
 
 def open_links(members: DataFrame, items: DataFrame) -> DataFrame:
-    """Links (a, b) between different labels of ``members`` (id, label), as many as join them and no more; ``items`` is what ``bag_items`` gives.
-
-    Members meet in the groups of their ``rare_items``, which no similar pair
-    escapes; texts that share a long passage and else differ do not meet at
-    all. Groups of one label are left out. A group is dealt to blocks by the
-    number and size of its bags; each pair of blocks is one small task,
-    whatever the group's size, and no member is left out. There, pairs whose
-    signatures agree in ``AGREE`` places are compared exactly by their items,
-    the most alike first, unless they are joined by then. A pair is looked at
-    in the first group that it shares.
+    """Links (a, b) between different labels of ``members`` (band, key, id, label), as many as join them and no more; ``items`` is what ``bag_items`` gives.
+
+    Only members ``with_partners`` are looked at. Their bucket is dealt to
+    blocks by the number and size of its bags; each pair of blocks is one
+    small task, whatever the bucket's size, and no member is left out. There,
+    pairs whose signatures agree in ``AGREE`` places are compared exactly by
+    their items, the most alike first, unless they are joined by then. A pair
+    is looked at in the first band that it shares.
     """
-    rare = write_table(rare_items(items).join(members, "id"), "rare-items")
-    size = F.octet_length("items") / 8
-    groups = rare.join(items.select("id", size.alias("size")), "id").groupBy("item").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("label").alias("l"), F.max("label").alias("h"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_ITEMS)).cast("int")
-    groups = write_table(groups.where("l <> h").select("item", blocks.alias("blocks")), "rare-groups")
-    held = rare.join(groups, "item")
-    before = F.expr("transform(filter(met, x -> x.nth < nth), x -> x.item)")
-    mine = held.groupBy("id").agg(F.collect_list(F.struct("nth", "item")).alias("met"))  # bounded by the bag's own rare items
+    held = write_table(with_partners(members, items), "open-buckets")
+    sizes = items.select("id", (F.octet_length("items") / 8).alias("size"))
+    weighed = held.join(sizes, "id").groupBy("band", "key").agg(F.sum("size").alias("size"), F.max("n").alias("n"))
+    blocks = weighed.select("band", "key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_ITEMS)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = held.join(mine, "id").select("item", "id", "label", before.alias("before"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("item", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "before").join(items, "id")
+    dealt = held.join(blocks, ["band", "key"]).select("band", "key", "id", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label").join(items, "id")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        n = len(group)
+        n, band = len(group), int(group["band"].iloc[0])
         signed = np.frombuffer(b"".join(map(bytes, group["signature"])), "<u4").reshape(n, PLACES)
+        keys = band_keys(signed)
         bags = [np.frombuffer(bytes(x), "<u8") for x in group["items"]]
         sizes, ids = np.array([len(x) for x in bags]), group["id"].to_numpy()
-        names = {x: k for k, x in enumerate({x for met in group["before"] for x in met})}
-        earlier = np.zeros((n, len(names)), np.float32)
-        for k, met in enumerate(group["before"]):
-            earlier[k, [names[x] for x in met]] = 1
         firsts: dict[int, int] = {}
         root = [firsts.setdefault(int(x), k) for k, x in enumerate(group["label"])]
 
@@ -359,8 +366,8 @@ def open_links(members: DataFrame, items: DataFrame) -> DataFrame:
         for k in range(n - 1):
             agree = (signed[k + 1 :] == signed[k]).sum(axis=1)
             low, high = np.minimum(sizes[k + 1 :], sizes[k]), np.maximum(sizes[k + 1 :], sizes[k])
-            met = earlier[k + 1 :] @ earlier[k] > 0
-            for x in np.flatnonzero((agree >= AGREE) & (low >= SIMILARITY * high) & ~met & (top[k + 1 :] != top[k])):
+            met = np.argmax(keys[k + 1 :] == keys[k], axis=1) == band
+            for x in np.flatnonzero((agree >= AGREE) & (low >= SIMILARITY * high) & met & (top[k + 1 :] != top[k])):
                 pairs.append((-int(agree[x]), k, k + 1 + int(x)))
         found = []
         for _, a, b in sorted(pairs):
@@ -371,8 +378,8 @@ def open_links(members: DataFrame, items: DataFrame) -> DataFrame:
                     found.append((ids[a], ids[b]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    links = write_table(dealt.groupBy("item", "i", "j").applyInPandas(run, "a long, b long"), "open-links")
-    drop_tables(rare, groups)
+    links = write_table(dealt.groupBy("band", "key", "i", "j").applyInPandas(run, "a long, b long"), "open-links")
+    drop_tables(held)
     return links
 
 
@@ -415,7 +422,7 @@ def _labelled(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     labels = write_table(components(links), "labels")
     seen = write_table(others.join(labels, "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label")), "labelled-members")
     is_open = seen.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band", "key")
-    left = write_table(seen.join(is_open, ["band", "key"]).select("id", "label").distinct(), "open-members")
+    left = write_table(seen.join(is_open, ["band", "key"]), "open-members")
     used = [single, buckets, held, pivots, others, stars, links, seen, left, texts]
     if not left.isEmpty():
         texts = _texts_of(docs, left, text_col=text_col)
