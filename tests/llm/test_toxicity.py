@@ -56,6 +56,55 @@ def test_gradients_are_those_of_differences():
             assert gradient[k] == pytest.approx((up - down) / (2 * step), abs=2e-3)
 
 
+def _plain_score(net, text):
+    """The highest window's probability, one word and one unit after the other."""
+    s, p = toxicity.STATES, {k: v.astype(np.float64) for k, v in net.p.items()}
+    words = text.lower().split()
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(projected, direction):
+        h, out = np.zeros(s), []
+        for x in projected:
+            a = h @ p["u"][direction]
+            z, r = sigmoid(x[:s] + a[:s]), sigmoid(x[s : 2 * s] + a[s : 2 * s])
+            new = np.tanh(x[2 * s :] + r * a[2 * s :])
+            h = (1 - z) * new + z * h
+            out.append(h)
+        return out
+
+    best = 0.0
+    for start in toxicity._starts(len(words)) if words else []:
+        rows = []
+        for w in words[start : start + toxicity.WINDOW]:
+            grams, _ = toxicity.gram_buckets([w])
+            rows.append(np.concatenate([p["words"][net.known.get(w, 0)], p["chars"][grams].mean(axis=0)]) @ p["w"] + p["b"])
+        both = [np.concatenate(x) for x in zip(states([r[: 3 * s] for r in rows], 0), states([r[3 * s :] for r in rows[::-1]], 1)[::-1], strict=True)]
+        weight = np.exp([x @ p["attend"] for x in both])
+        pooled = sum(w * x for w, x in zip(weight / weight.sum(), both, strict=True))
+        best = max(best, float(sigmoid(pooled @ p["out"] + p["bias"][0])))
+    return best
+
+
+def test_scores_are_those_of_a_plain_network():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgé", k=rng.randrange(1, 9))) for _ in range(50)] + ["12", "--", "É1x"]
+    net = toxicity.Network(words[:20], seed=3)
+    net.p = {k: (v * 2).astype(np.float32) for k, v in net.p.items()}
+    texts = [" ".join(rng.choices(words, k=n)) for n in (1, 2, 63, 64, 65, 200, 0, 113, 30)]
+    got = toxicity.Scorer(net).scores(texts)
+    assert max(abs(a - _plain_score(net, t)) for a, t in zip(got, texts, strict=True)) < 1e-4 and got[6] == 0
+
+
+def test_all_windows_of_one_row_an_id_are_learned_from(spark):
+    long = " ".join(f"w{k}" for k in range(1000))
+    docs = documents(spark, [long, "short text", "short text", "another text"], ids=[1, 2, 2, 2])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    rows = toxicity.training_windows(docs, labels, id_col="doc_id", text_col="text", label_col="toxic")[0].collect()
+    mine = sorted((r for r in rows if r["id"] == 1), key=lambda r: r["number"])
+    assert [r["words"] for r in mine] == [long.split()[s : s + toxicity.WINDOW] for s in toxicity._starts(1000)]
+    assert [r["words"] for r in rows if r["id"] == 2] == [["another", "text"]]
+
+
 def test_held_out_documents_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "STEPS", 120)
     texts, labels = _texts(400)

@@ -24,8 +24,8 @@ from tidemark.llm.shared import whole_text
 WINDOW, STRIDE = 64, 48
 #: Sizes: states of a direction, word and character embeddings, buckets of n-grams (3 and 4 letters).
 STATES, WORD_DIMS, CHAR_DIMS, BUCKETS = 12, 12, 16, 1 << 14
-#: Bounds of the training sample: labelled documents of each class, and windows of one document.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 6
+#: Bound of the training sample: labelled documents of each class, with all their windows.
+SAMPLE_DOCS = 1500
 #: Occurrences in the sample from which a word has an embedding of its own; training steps and windows of a step.
 KNOWN_FROM, STEPS, BATCH = 5, 300, 144
 #: Words whose projections a worker keeps, and windows scored at a time.
@@ -311,18 +311,19 @@ def clean_words(text: str) -> list[str]:
 
 
 def training_windows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, float]:
-    """Rows (id, label, number, words), and the odds of a toxic label: evenly spread windows of a bounded sample of labelled documents.
+    """Rows (id, label, number, words), and the odds of a toxic label: all windows of a bounded sample of labelled documents.
 
     Of each class some ``SAMPLE_DOCS`` documents are drawn by a hash of their
     id. The sampled ids are broadcast; that they are few is a matter of
-    the bound.
+    the bound. Of rows that share an id the least text is taken, so that a
+    repeated id brings one document.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     n = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     share = F.when(F.col("label") == 1, SAMPLE_DOCS / max(1, n.get(1, 0))).otherwise(SAMPLE_DOCS / max(1, n.get(0, 0)))
     draw = F.pmod(F.xxhash64(F.lit("toxic-sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
     sample = F.broadcast(marked.where(draw < share))
-    rows = docs.select(docs[id_col].alias("id"), whole_text(text_col).alias("text")).join(sample, "id").select("id", "label", "text")
+    rows = docs.select(docs[id_col].alias("id"), whole_text(text_col).alias("text")).join(sample, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,12 +331,11 @@ def training_windows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_co
             for i, label, text in zip(*(batch.column(c).to_pylist() for c in ("id", "label", "text")), strict=True):
                 words = clean_words(text)
                 starts = _starts(len(words)) if words else []
-                chosen = sorted({int(k) for k in np.linspace(0, len(starts) - 1, SAMPLE_WINDOWS)}) if starts else []
-                for k in chosen:
+                for k, start in enumerate(starts):
                     out["id"].append(i)
                     out["label"].append(label)
                     out["number"].append(k)
-                    out["words"].append(words[starts[k] : starts[k] + WINDOW])
+                    out["words"].append(words[start : start + WINDOW])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out["id"], batch.schema.field("id").type), pa.array(out["label"], pa.int32()), pa.array(out["number"], pa.int32()), pa.array(out["words"], pa.list_(pa.string()))], names=list(out)
             )
@@ -348,9 +348,14 @@ def _fitted(windows: DataFrame, odds: float) -> Network | None:
     """The network of a bounded sample, trained in one task: there numpy keeps to the task's cores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted({(str(r["id"]), r["number"], r["label"], tuple(r["words"])) for batch in batches for r in batch.to_pylist()})
+        same: dict[str, str] = {}  # a word is held once
+        rows = []
+        for batch in batches:
+            for i, number, label, words in zip(*(batch.column(c).to_pylist() for c in ("id", "number", "label", "words")), strict=True):
+                rows.append((str(i), number, label, [same.setdefault(w, w) for w in words]))
+        rows.sort()
         bag = {i: k for k, i in enumerate(dict.fromkeys(r[0] for r in rows))}
-        net = train([list(r[3]) for r in rows], [bag[r[0]] for r in rows], [r[2] for r in rows], odds=odds)
+        net = train([r[3] for r in rows], [bag[r[0]] for r in rows], [r[2] for r in rows], odds=odds)
         yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps(net)], pa.binary())})
 
     return pickle.loads(windows.repartition(1).mapInArrow(run, "net binary").head()["net"])
