@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -249,7 +250,7 @@ def vocabulary(definition: str, end_id: int) -> int:
 
 
 def tokenise(docs: DataFrame, definition: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, tie, ids): ids of ``id_type`` with the end id, tie their crc32."""
+    """Rows (doc_id, tie, ids): ids of ``id_type`` with the end id, tie 64 bits of their digest."""
     sent = docs.sparkSession.sparkContext.broadcast(definition)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     held_as = id_type(vocabulary(definition, end_id))
@@ -259,7 +260,7 @@ def tokenise(docs: DataFrame, definition: str, *, end_id: int, id_col: str = "do
         tokenizer = _tokenizer(sent.value, held_as)
         for batch in batches:
             ids = [tokenizer.encode(t) + end for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "tie": pa.array(map(zlib.crc32, ids), pa.int64()), "ids": pa.array(ids, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "tie": pa.array((xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in ids), pa.int64()), "ids": pa.array(ids, pa.binary())})
 
     return rows.mapInArrow(run, "doc_id long, tie long, ids binary")
 
@@ -286,9 +287,10 @@ def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
 def write_files(tokens: DataFrame, size: int, path: str) -> None:
     """Write ``tokens`` (doc_id, tie, ids) to ``path``: its ``codebook`` and ``segments`` in ascending doc_id.
 
-    Null ids come first; equal ids are ordered by the crc32 of their tokens
-    and then by these, so that a rerun gives the same files. Rows are dealt
-    to shards by ranges of (doc_id, tie): one id may hold many rows.
+    Null ids come first; equal ids are ordered by the digest of their tokens,
+    so that a rerun gives the same files. Rows are dealt to shards by ranges
+    of (doc_id, tie, place of the row): one id may hold many rows, and so may
+    one document of that id, whose rows are all alike.
     """
     spark = tokens.sparkSession
     counts = count_ids(tokens, size)
@@ -319,12 +321,13 @@ def write_files(tokens: DataFrame, size: int, path: str) -> None:
         if ids:
             yield image()
 
-    ordered = tokens.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "ids")
+    first = F.col("doc_id").asc_nulls_first()
+    ordered = tokens.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(shards, first, "tie", "place").sortWithinPartitions(first, "tie", "place")
     ordered.select("doc_id", "ids").mapInArrow(run, "shard long, number long, n_ids long, image binary").write.option("compression", "none").parquet(f"{path}/segments")
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids_crc32, ids) of all documents in ``path``, decoded from its images.
+def read_files(spark: SparkSession, path: str, *, keep_ids: bool = True) -> DataFrame:
+    """Rows (doc_id, start, n_tokens, ids_crc32) of all documents in ``path``, decoded from its images, with ``ids`` if they are kept.
 
     ``start`` counts the ids of all documents before: within the image, plus
     the sizes of all earlier images, of which there are few enough to be
@@ -340,6 +343,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                 doc_ids, ids = read_image(coder, image)
                 n = np.array([len(x) for x in ids], np.int64)
                 blobs = [x.astype("<u4").tobytes() for x in ids]
+                kept = {"ids": pa.array(blobs, pa.binary())} if keep_ids else {}
                 yield pa.RecordBatch.from_pydict(
                     {
                         "shard": pa.array([shard] * len(ids), pa.int64()),
@@ -348,11 +352,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                         "within": pa.array(np.cumsum(n) - n),
                         "n_tokens": pa.array(n),
                         "ids_crc32": pa.array(map(zlib.crc32, blobs), pa.int64()),
-                        "ids": pa.array(blobs, pa.binary()),
                     }
+                    | kept
                 )
 
-    docs = segments.select("shard", "number", "image").mapInArrow(run, "shard long, number long, doc_id long, within long, n_tokens long, ids_crc32 long, ids binary")
+    docs = segments.select("shard", "number", "image").mapInArrow(run, "shard long, number long, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids)
     sizes = segments.select("shard", "number", "n_ids")
     earlier = Window.partitionBy("shard").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("of_shard"))
@@ -360,7 +364,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     shards = shards.select("shard", F.coalesce(F.sum("of_shard").over(before), F.lit(0)).alias("shard_start"))
     starts = sizes.select("shard", "number", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("in_shard")).join(shards, "shard")
     joined = docs.join(starts, ["shard", "number"])
-    return joined.select("doc_id", (F.col("shard_start") + F.col("in_shard") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return joined.select("doc_id", (F.col("shard_start") + F.col("in_shard") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * keep_ids)
 
 
 def token_file_digests(docs: DataFrame, definition: str, *, end_id: int, path: str | None = None, **columns) -> DataFrame:
@@ -374,4 +378,4 @@ def token_file_digests(docs: DataFrame, definition: str, *, end_id: int, path: s
     tokens = write_table(tokenise(docs, definition, end_id=end_id, **columns), "tokens")
     path = path or f"{shared_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
     write_files(tokens, vocabulary(definition, end_id), path)
-    return read_files(docs.sparkSession, path).drop("ids")
+    return read_files(docs.sparkSession, path, keep_ids=False)
