@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -68,7 +69,50 @@ def test_terms_count_over_whole_documents(spark):
     assert all(rows[k]["spans"] == "" for k in range(6, len(texts)))
 
 
+def test_shares_are_those_of_plain_counts(spark):
+    """Several entities and places in a document, repeated rows, null and equal ids; no share is above one."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(30)]
+    mails = [f"p{k}@corp.example.com" for k in range(4)]
+    texts = [" ".join(rng.choices(words[:12], k=14) + ["Kim", mails[0], "7a41"] * rng.randrange(1, 4) + rng.choices(mails[1:], k=rng.randrange(3))) for _ in range(12)]
+    texts += [" ".join(rng.choices(words, k=25) + rng.choices(mails[1:], k=rng.randrange(2))) for _ in range(60)] + ["Kim alone", "", None]
+    texts += texts[:5]
+    docs = documents(spark, texts, ids=[None if k % 7 == 0 else k // 2 for k in range(len(texts))])
+    found = pii.detect(docs).where("digest is not null")
+    got = {(r["entity"], r["term"]): r["share"] for r in pii.disclosures(found, docs).collect()}
+    held = [(set(pii.entities(t, s)), {x for x, _, _ in pii.terms(t, s)}, set(re.findall(r"[^\W_]+", t.lower())), t) for t in (x or "" for x in texts) for s in [pii.base_spans(t)]]
+    n, want = len(texts), {}
+    for e in set().union(*(x[0] for x in held)):
+        rows = [x for x in held if e in x[0]]
+        for term in set().union(*(x[1] for x in rows)):
+            both = [x for x in rows if term in x[1]]
+            if len({x[3] for x in both}) >= pii.LEAST_TEXTS:
+                n_term = sum(term in x[2] for x in held)
+                share = math.log2(len(both) * n / (n_term * len(rows))) / math.log2(n / len(rows))
+                assert share <= 1 + 1e-9
+                if share >= pii.GENERALISE_FROM:
+                    want[e, term] = share
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_sanitised_texts(spark):
+    rng = random.Random(3)
+    filler = ["plain", "common", "words", "here", "again", "other", "things"]
+    texts = [f"{' '.join(rng.choices(filler, k=9))} Zanzibar mail jo@corp.example.com {' '.join(rng.choices(filler, k=9))}" for _ in range(6)]
+    texts += [" ".join(rng.choices(filler, k=30)) for _ in range(60)] + [None, "call +49 30 1234567 now 😀"]
+    docs = documents(spark, texts)
+    rows = {r["doc_id"]: r for r in pii.sanitise_documents(docs).collect()}
+    assert pii.sanitise_documents(docs).columns == docs.columns and len(rows) == len(texts)
+    for k in range(6):
+        assert "jo@" not in rows[k]["text"] and "Zanzibar" not in rows[k]["text"] and "[email]" in rows[k]["text"] and "[removed]" in rows[k]["text"]
+        assert rows[k]["n_chars"] == len(rows[k]["text"])
+    assert all(rows[k]["text"] == texts[k] for k in range(6, 67)) and rows[67]["text"] == "call [phone] now 😀"
+    assert pii.sanitised("Ana 7b x", "generalise:0:3,generalise:4:6,generalise:7:8") == "[name] [number] [word]"
+
+
 def test_odd_rows(spark):
     rows = pii.sanitise_spans(odd_documents(spark)).collect()
     assert len(rows) == 8 and {r["spans"] for r in rows} == {""}
     assert pii.sanitise_spans(empty_documents(spark)).count() == 0
+    assert pii.sanitise_documents(odd_documents(spark)).columns == odd_documents(spark).columns
+    assert pii.sanitise_documents(empty_documents(spark)).count() == 0

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from tidemark.llm.shared import whole_text, write_table
 
@@ -100,12 +101,13 @@ def terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, i
             yield m[0].lower(), a, b
 
 
-def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, digest, counts, base, entities, text), one for each row of ``docs``; ``digest`` is of the text.
+def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, digest, counts, base, entities, text, carried), one for each row of ``docs``; ``digest`` is of the text.
 
-    ``digest`` and ``text`` are null where there is no entity: only the texts that hold one are read again.
+    ``digest`` and ``text`` are null where there is no entity: only the texts
+    that hold one are read again. ``carried`` holds the columns in ``carry``.
     """
-    rows = docs.select(docs[id_col].alias("id"), whole_text(text_col).alias("text"))
+    rows = docs.select(docs[id_col].alias("id"), whole_text(text_col).alias("text"), F.struct(*[docs[c] for c in carry] or [F.lit(0).alias("none")]).alias("carried"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,12 +121,16 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
                     pa.array([",".join(f"{k}:{a}:{b}" for k, a, b in s) for s in spans], pa.string()),
                     pa.array([entities(t, s) for t, s in zip(texts, spans, strict=True)], pa.list_(pa.int64())),
                     pa.array([t if s else None for t, s in zip(texts, spans, strict=True)], pa.string()),
+                    batch.column("carried"),
                 ],
-                names=["id", "digest", *(f"n_{k}" for k in KINDS), "base", "entities", "text"],
+                names=["id", "digest", *(f"n_{k}" for k in KINDS), "base", "entities", "text", "carried"],
             )
 
-    fields = ", ".join(f"n_{k} long" for k in KINDS)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, {fields}, base string, entities array<long>, text string")
+    schema = StructType().add(rows.schema["id"]).add("digest", "binary")
+    for kind in KINDS:
+        schema = schema.add(f"n_{kind}", "long")
+    schema = schema.add("base", "string").add("entities", ArrayType(LongType())).add("text", "string").add(rows.schema["carried"])
+    return rows.mapInArrow(run, schema)
 
 
 def _bits(slots: DataFrame, size: int) -> np.ndarray:
@@ -256,8 +262,8 @@ def disclosures(found: DataFrame, docs: DataFrame, *, text_col: str = "text") ->
     return write_table(joined.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE_FROM), "pii-shares")
 
 
-def sanitise_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_email, n_ip, n_card, n_phone, base, spans, added), one for each row of ``docs``.
+def sanitise_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, n_email, n_ip, n_card, n_phone, base, carried, spans, added), one for each row of ``docs``.
 
     ``base`` and ``spans`` list kind:start:end, joined by commas, by kind as
     listed and then start; ``added`` counts the terms to remove or to
@@ -267,10 +273,10 @@ def sanitise_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     gets none; in one with an entity, every place of its terms is listed.
     What is shuffled are pairs of terms and entities that recur, and no texts.
     """
-    found = write_table(detect(docs, id_col=id_col, text_col=text_col), "pii")
-    held = found.where("digest is not null")
+    found = write_table(detect(docs, id_col=id_col, text_col=text_col, carry=carry), "pii")
+    held = found.where("digest is not null").drop("carried")
     shares = disclosures(held, docs, text_col=text_col)
-    base = ("id", *(f"n_{k}" for k in KINDS), "base")
+    base = ("id", *(f"n_{k}" for k in KINDS), "base", "carried")
     if shares is None:
         return found.select(*base, F.col("base").alias("spans"), F.lit(0).cast("long").alias("added"))
     kind = F.when(F.max("share") >= REMOVE_FROM, REMOVE).otherwise(GENERALISE)
@@ -283,5 +289,35 @@ def sanitise_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return joined.select(*base, spans.alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("added"))
 
 
+def sanitised(text: str, spans: str) -> str:
+    """``text`` without the personal data in ``spans``: entities become their kind, terms to remove vanish in ``[removed]``, others become their sort."""
+    places = sorted((int(a), int(b), kind) for kind, a, b in (s.split(":") for s in spans.split(",")))
+    out, at = [], 0
+    for a, b, kind in places:
+        if a >= at:
+            term = text[a:b]
+            sort = "number" if any(map(str.isdigit, term)) else "name" if term[:1].isupper() else "word"
+            out += [text[at:a], f"[{'removed' if kind == REMOVE else sort if kind == GENERALISE else kind}]"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def sanitise_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """All rows of ``docs`` with the texts that ``sanitised`` gives, and their length in ``length_col``; rows without spans are unchanged, null stays null."""
+    columns = docs.columns
+    judged = sanitise_spans(docs, id_col=id_col, text_col=text_col, carry=tuple(columns)).select("carried", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [sanitised(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("carried"), pa.array(texts, pa.string())], names=["carried", "clean"])
+
+    touched = judged.where("spans <> ''").select("carried", F.col(f"carried.`{text_col}`").alias("text"), "spans")
+    clean = touched.mapInArrow(run, StructType().add(judged.schema["carried"]).add("clean", "string"))
+    kept = {c: F.col(f"carried.`{c}`").alias(c) for c in columns}
+    new = kept | {c: x.alias(c) for c, x in ((text_col, F.col("clean")), (length_col, F.char_length("clean").cast("long"))) if c in columns}
+    return judged.where("spans = ''").select(*kept.values()).unionByName(clean.select(*new.values()))
+
+
 def sha256_hex(column: str):
     return F.sha2(F.col(column).cast("binary"), 256)
