@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -66,3 +68,14 @@ def test_the_rest_stands_without_this_part():
             assert "tidemark.llm" not in p.read_text()
     code = "import pathlib; e = pathlib.Path.exists; pathlib.Path.exists = lambda p: p.name != 'corpus_pipeline.py' and e(p); import __spark_entry__ as x; assert not x.HAS_LLM and x.queries() and x.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_a_copy_without_this_part_passes(tmp_path):
+    """Both folders and the pipeline deleted: the entry imports, queries and tests of the rest work."""
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    assert not (copy / "tidemark" / "llm").exists() and not (copy / "tests" / "llm").exists()
+    code = "import __spark_entry__ as x; assert not x.HAS_LLM and set(x.oracle_sql()) <= set(x.queries()) and 'pipeline' not in x.queries()"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, check=True, timeout=120)
+    subprocess.run([sys.executable, "-m", "pytest", "tests/test_codec.py", "-q"], cwd=copy, env=env, check=True, timeout=300)
