@@ -41,7 +41,7 @@ def test_an_event_is_booked_once_over_all_tenants(spark):
 
 def test_the_gate_and_the_chain_are_a_fold(spark):
     rng = random.Random(3)
-    events = [(str(i), "t", rng.choice("ab"), rng.randrange(50), rng.randrange(1, 9), rng.randrange(1, 9), None, None) for i in range(60)]
+    events = [(str(i), "t", rng.choice("ab"), rng.randrange(50) + ops.DAY * rng.randrange(3), rng.randrange(1, 9), rng.randrange(1, 9), None, None) for i in range(60)]
     frame, accounts, plans = _frames(spark, events)
     got = {r["event_id"]: (r["booked"], r["balance_after"], r["hash"]) for r in ops.booked_ledger(ops.bookable(frame, accounts, plans)).collect()}
     want = {}

@@ -18,6 +18,8 @@ from tidemark.functions.codec import nanos_key, path_key
 ACCOUNT = ("tenant", "account_id")
 #: The order in which an account's events are booked.
 ORDER = ("ts_nanos", "event_id")
+#: Nanoseconds of a day.
+DAY = 86_400_000_000_000
 
 
 def valid(events: DataFrame) -> Column:
@@ -110,10 +112,24 @@ def balances(bookings: DataFrame, accounts: DataFrame) -> DataFrame:
     return joined.select(*ACCOUNT, (F.col("credit") - F.coalesce("spent", F.lit(0))).cast("long").alias("balance"))
 
 
+def _block(order: tuple[str, ...]) -> Column:
+    """A number that does not fall along ``order`` and parts a long account: the day, or the first column if that is no time."""
+    return F.expr(f"ts_nanos div {DAY}") if order[0] == "ts_nanos" else F.col(order[0])
+
+
 def running_balance(bookings: DataFrame) -> DataFrame:
-    """``balance_after`` where overdraft is allowed: a running sum by account."""
-    w = Window.partitionBy(*ACCOUNT).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    return bookings.select("event_id", *ACCOUNT, "ts_nanos", "cost", (F.col("credit") - F.sum("cost").over(w)).alias("balance_after"))
+    """``balance_after`` where overdraft is allowed: a running sum by account.
+
+    Sums run within the days of an account, and a day starts from the sum of
+    the account's earlier days: a hot account is split by its days.
+    """
+    rows = bookings.select("event_id", *ACCOUNT, "ts_nanos", "cost", "credit", _block(ORDER).alias("day"))
+    days = rows.groupBy(*ACCOUNT, "day").agg(F.sum("cost").alias("spent"))
+    earlier = Window.partitionBy(*ACCOUNT).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*ACCOUNT, "day", F.coalesce(F.sum("spent").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy(*ACCOUNT, "day").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("spent", F.sum("cost").over(within)).join(days, [*ACCOUNT, "day"])
+    return summed.select("event_id", *ACCOUNT, "ts_nanos", "cost", (F.col("credit") - F.col("before") - F.col("spent")).alias("balance_after"))
 
 
 def chain_input(event_id, tenant, account, nanos, units, price, cost, before) -> str:
@@ -175,11 +191,18 @@ def booked_ledger(bookings: DataFrame, *, allow_overdraft: bool = False, carry:
 
 
 def verify_chain(ledger: DataFrame, *, order: tuple[str, ...] = ORDER) -> DataFrame:
-    """Rows (event_id, linked, sealed) of booked events: does the link hold, does the hash match its fields?"""
-    w = Window.partitionBy(*ACCOUNT).orderBy(*order)
+    """Rows (event_id, linked, sealed) of booked events: does the link hold, does the hash match its fields?
+
+    Links are compared within the blocks of an account, and its first one of
+    a block to the last hash of the blocks before: a hot account is split.
+    """
+    booked = ledger.where("booked").withColumn("block", _block(order))
+    ends = booked.groupBy(*ACCOUNT, "block").agg(F.max_by("hash", F.struct(*order)).alias("end"))
+    ends = ends.select(*ACCOUNT, "block", F.lag("end").over(Window.partitionBy(*ACCOUNT).orderBy("block")).alias("carried"))
+    before = F.lag("hash").over(Window.partitionBy(*ACCOUNT, "block").orderBy(*order))
     seal = F.sha2(F.concat_ws("|", "event_id", "tenant", "account_id", "ts_nanos", "units", "price", "cost", "prev_hash"), 256)
-    booked = ledger.where("booked")
-    return booked.select("event_id", (F.col("prev_hash") == F.coalesce(F.lag("hash").over(w), F.lit(""))).alias("linked"), (seal == F.col("hash")).alias("sealed"))
+    marked = booked.withColumn("before", before).join(ends, [*ACCOUNT, "block"])
+    return marked.select("event_id", (F.col("prev_hash") == F.coalesce("before", "carried", F.lit(""))).alias("linked"), (seal == F.col("hash")).alias("sealed"))
 
 
 def price_snapshots(bookings: DataFrame) -> DataFrame:
