@@ -326,7 +326,9 @@ def with_partners(members: DataFrame, items: DataFrame) -> DataFrame:
     left = write_table(members.join(met, "id"), "members-with-partners")
     drop_tables(rare)
     still = left.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band", "key", "n")
-    return left.join(still, ["band", "key"])
+    found = write_table(left.join(write_table(still, "still-open"), ["band", "key"]), "open-buckets")
+    drop_tables(left)
+    return found
 
 
 def open_links(members: DataFrame, items: DataFrame) -> DataFrame:
@@ -339,10 +341,10 @@ def open_links(members: DataFrame, items: DataFrame) -> DataFrame:
     their items, the most alike first, unless they are joined by then. A pair
     is looked at in the first band that it shares.
     """
-    held = write_table(with_partners(members, items), "open-buckets")
+    held = with_partners(members, items)
     sizes = items.select("id", (F.octet_length("items") / 8).alias("size"))
     weighed = held.join(sizes, "id").groupBy("band", "key").agg(F.sum("size").alias("size"), F.max("n").alias("n"))
-    blocks = weighed.select("band", "key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_ITEMS)).cast("int").alias("blocks"))
+    blocks = write_table(weighed.select("band", "key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_ITEMS)).cast("int").alias("blocks")), "blocks")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = held.join(blocks, ["band", "key"]).select("band", "key", "id", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label").join(items, "id")
@@ -379,7 +381,7 @@ def open_links(members: DataFrame, items: DataFrame) -> DataFrame:
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     links = write_table(dealt.groupBy("band", "key", "i", "j").applyInPandas(run, "a long, b long"), "open-links")
-    drop_tables(held)
+    drop_tables(held, blocks)
     return links
 
 
@@ -410,6 +412,7 @@ def _labelled(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     single = signed.where("keys is not null").groupBy("node").agg(F.min_by("keys", "digest").alias("keys"))
     single = write_table(single.select(F.col("node").alias("id"), "keys"), "representatives")
     members = single.select("id", F.posexplode("keys").alias("band", "key"))
+    # A table that is written before it is joined lets Spark broadcast it if it is small and split hot keys if it is not.
     buckets = write_table(members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     held = write_table(members.join(buckets, ["band", "key"]), "bucket-members")
     near = held.groupBy("id").agg(F.sum("n").alias("near"))
@@ -421,9 +424,9 @@ def _labelled(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     links = write_table(verified(stars, texts), "links-found")
     labels = write_table(components(links), "labels")
     seen = write_table(others.join(labels, "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label")), "labelled-members")
-    is_open = seen.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band", "key")
+    is_open = write_table(seen.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band", "key"), "open-keys")
     left = write_table(seen.join(is_open, ["band", "key"]), "open-members")
-    used = [single, buckets, held, pivots, others, stars, links, seen, left, texts]
+    used = [single, buckets, held, pivots, others, stars, links, seen, is_open, left, texts]
     if not left.isEmpty():
         texts = _texts_of(docs, left, text_col=text_col)
         items = write_table(bag_items(texts), "open-bags")
