@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import write_table
@@ -246,6 +246,12 @@ class Block:
         return self.ids[members[best]], scores[best]
 
 
+def _lane_keys(spark: SparkSession, lanes: int) -> list[int]:
+    """Numbers whose hashes fall to different partitions of ``lanes``, so that no two lanes share a task."""
+    slots = spark.range(64 * lanes, numPartitions=1).groupBy(F.pmod(F.hash("id"), F.lit(lanes)).alias("slot")).agg(F.min("id").alias("key"))
+    return sorted(r["key"] for r in slots.collect())
+
+
 def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k best of ``vectors`` for every row of ``queries``, both (id, v).
 
@@ -257,7 +263,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5) -> DataFrame:
     with ranks from 1. Scores of any size are ranked exactly; one that a
     long cannot hold is shown as null.
 
-    Index blocks are dealt round to lanes and query blocks are copied to all
+    Index blocks are dealt round to lanes, one a task, and query blocks are copied to all
     of them; so every query block meets every index block once, in an
     equality join of blocks, and neither side is broadcast. Each pair of
     blocks returns k rows a query.
@@ -265,9 +271,10 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5) -> DataFrame:
     spark = vectors.sparkSession
     index = write_table(build_index(vectors), "topk-index")
     lanes = max(1, min(index.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = index.withColumn("lane", F.pmod("place", F.lit(lanes)).cast("int"))
-    packed = pack_queries(queries.distinct()).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    met = dealt.join(packed, "lane").drop("lane", "place")
+    keys = F.array(*map(F.lit, _lane_keys(spark, lanes)))
+    dealt = index.withColumn("lane", F.element_at(keys, (F.pmod("place", F.size(keys)) + 1).cast("int")))
+    packed = pack_queries(queries.distinct()).withColumn("lane", F.explode(keys))
+    met = dealt.repartition(lanes, "lane").join(packed.repartition(lanes, "lane"), "lane").drop("lane", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
