@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.billing import LEDGER, USAGE
 from tidemark.plans.registry import query
-from tidemark.sources.tables import accounts, events_stream, price_plans, usage_of
+from tidemark.sources.tables import accounts, events_stream, price_plans, scratch_folder, usage_of
 from tidemark.streaming.ledger import stream_ledger, windowed_usage
 
 
 def _finish(spark: SparkSession, rows: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and read what it wrote."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-stream-')}"
-    base = f"{root}/stream-{uuid.uuid4().hex}"
+    base = scratch_folder(spark, "stream")
     writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state")
     writer.format("parquet").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{base}/out")

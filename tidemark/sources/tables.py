@@ -6,6 +6,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,16 @@ PRICES = (("click", 3, "click"), ("view", 1, "view"), ("purchase", 50, "order"),
 CREDIT = 2_000_000
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``; below a temporary one where that is unset and all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-tidemark-')}"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
