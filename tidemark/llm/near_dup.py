@@ -344,7 +344,7 @@ def open_links(members: DataFrame, items: DataFrame) -> DataFrame:
     held = with_partners(members, items)
     sizes = items.select("id", (F.octet_length("items") / 8).alias("size"))
     weighed = held.join(sizes, "id").groupBy("band", "key").agg(F.sum("size").alias("size"), F.max("n").alias("n"))
-    blocks = write_table(weighed.select("band", "key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_ITEMS)).cast("int").alias("blocks")), "blocks")
+    blocks = write_table(weighed.select("band", "key", F.ceil(F.least(F.col("n"), F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_ITEMS))).cast("int").alias("blocks")), "blocks")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = held.join(blocks, ["band", "key"]).select("band", "key", "id", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label").join(items, "id")
