@@ -277,8 +277,9 @@ def item_counts(items: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for x in batch.column("items").to_pylist():
-                counts += np.bincount(_slot(np.frombuffer(x, "<u8")), minlength=SLOTS)
+            for at in range(0, batch.num_rows, BLOCK):
+                part = b"".join(batch.column("items").slice(at, BLOCK).to_pylist())
+                counts += np.bincount(_slot(np.frombuffer(part, "<u8")), minlength=SLOTS)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(used, pa.int64()), "n": pa.array(counts[used])})
 
@@ -300,15 +301,18 @@ def rare_items(items: DataFrame) -> DataFrame:
     n - SIMILARITY * n + 1 of both. Any order is right; the one from rare
     to frequent, by ``item_counts``, makes small groups.
     """
-    sent = items.sparkSession.sparkContext.broadcast(item_counts(items).astype(np.uint32))
+    sent = items.sparkSession.sparkContext.broadcast(np.minimum(item_counts(items), 2**32 - 1).astype(np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, x in zip(batch.column("id").to_pylist(), batch.column("items").to_pylist(), strict=True):
-                x = np.frombuffer(x, "<u8")
-                most = len(x) - math.ceil(SIMILARITY * len(x) - 1e-9) + 1
-                first = x[np.lexsort((x, sent.value[_slot(x)]))[:most]]
-                yield pa.RecordBatch.from_pydict({"id": pa.array([i] * len(first), pa.int64()), "item": pa.array(first.astype(np.int64))})
+            for at in range(0, batch.num_rows, BLOCK):
+                part, found = batch.slice(at, BLOCK), []
+                for x in part.column("items").to_pylist():
+                    x = np.frombuffer(x, "<u8")
+                    most = len(x) - math.ceil(SIMILARITY * len(x) - 1e-9) + 1
+                    found.append(x[np.lexsort((x, sent.value[_slot(x)]))[:most]])
+                ids = np.repeat(part.column("id").to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "item": pa.array(np.concatenate(found).astype(np.int64))})
 
     return items.select("id", "items").mapInArrow(run, "id long, item long")
 
