@@ -58,15 +58,15 @@ def priced(events: DataFrame, plans: DataFrame) -> DataFrame:
     return joined.withColumn("price", price).withColumn("cost", F.try_multiply(F.col("units"), F.col("price")))
 
 
-def reject_reasons(events: DataFrame, accounts: DataFrame, plans: DataFrame, *carry: str) -> DataFrame:
-    """Rows (event_id, ``carry``, reason) of all events that fail before their account's balance counts."""
+#: The checks of an event before its account's balance counts, in their order.
+CHECKS = ("invalid", "account_not_found", "price_plan_not_found", "overflow")
+
+
+def reject_reasons(events: DataFrame, accounts: DataFrame, plans: DataFrame, *carry: str, checks: tuple[str, ...] = CHECKS) -> DataFrame:
+    """Rows (event_id, ``carry``, reason) of all events that fail one of ``checks``: the first that they fail, in the order of ``CHECKS``."""
     marked = priced(events, plans).join(accounts.select(*ACCOUNT, F.lit(True).alias("known")), list(ACCOUNT), "left")
-    reason = (
-        F.when(~valid(events), "invalid")
-        .when(F.col("known").isNull(), "account_not_found")
-        .when(F.col("price").isNull(), "price_plan_not_found")
-        .when(F.col("cost").isNull(), "overflow")
-    )
+    failed = dict(zip(CHECKS, (~valid(events), F.col("known").isNull(), F.col("price").isNull(), F.col("cost").isNull()), strict=True))
+    reason = F.coalesce(*(F.when(failed[c], c) for c in CHECKS if c in checks))
     return marked.select("event_id", *carry, reason.alias("reason")).where("reason is not null")
 
 
