@@ -5,6 +5,7 @@ import pytest
 from tidemark.engine import VectorTable
 from tidemark.errors import AccountNotFound, Conflict, InvalidArgument, OutOfRange, PricePlanNotFound, VectorNotFound
 from tidemark.ledger import Ledger
+from tidemark.operators import billing
 
 EVENT = "event_id string, tenant string, account_id string, ts_nanos long, units long, unit_price long, plan_id string, metadata string"
 
@@ -80,3 +81,27 @@ def test_vectors(spark, tmp_path):
     table.delete(one)
     with pytest.raises(VectorNotFound):
         table.get(one)
+
+
+def test_a_batch_is_booked_once_and_then_counted_from_what_was_written(spark, tmp_path, monkeypatch):
+    passed, booked_ledger = spark.sparkContext.accumulator(0), billing.booked_ledger
+
+    def counted(*args, **options):
+        rows = booked_ledger(*args, **options)
+
+        def count(batches):
+            for batch in batches:
+                passed.add(batch.num_rows)
+                yield batch
+
+        return rows.mapInArrow(count, rows.schema)
+
+    monkeypatch.setattr(billing, "booked_ledger", counted)
+    ledger = Ledger(spark, f"file://{tmp_path}/t")
+    ledger.load_accounts(spark.createDataFrame([("t", "a", 100), ("t", "b", 0), ("t", "b", 0)], "tenant string, account_id string, credit long"))
+    assert sorted(map(tuple, ledger.balances().collect())) == [("t", "a", 100, ""), ("t", "b", 0, "")]
+    rows = [("e1", "t", "a", 1, 1, 5, None, None), ("e2", "t", "a", 2, 1, 900, None, None), ("e2", "t", "a", 3, 1, 9, None, None), ("e2", "t", "a", 4, 1, 8, None, None), ("e3", "t", "b", 5, 1, 1, None, None), (None, "t", "a", 6, 1, 1, None, None)]
+    assert ledger.record_usage(spark.createDataFrame(rows, EVENT)) == {"imported": 2, "skipped": 1, "rejected": 3}
+    assert passed.value == 4  # e1, both attempts of e2 up to the booked one, e3
+    assert ledger.record_usage(spark.createDataFrame(rows[:4], EVENT)) == {"imported": 0, "skipped": 4, "rejected": 0}
+    assert ledger.record_usage(spark.createDataFrame(rows[4:], EVENT)) == {"imported": 0, "skipped": 0, "rejected": 2}

@@ -64,9 +64,9 @@ class Ledger:
         """Open the accounts of a DataFrame (tenant, account_id, credit) that do not exist, with their credit, in one version."""
         base = self.table.version()
         new = accounts.dropDuplicates(list(billing.ACCOUNT)).join(self._rows("account", base).select(*billing.ACCOUNT), list(billing.ACCOUNT), "left_anti")
-        opened = new.select(F.lit("account").alias("kind"), F.col("account_id").alias("id"), *billing.ACCOUNT)
-        paid = new.where("credit > 0").select(F.lit("credit").alias("kind"), F.col("account_id").alias("id"), *billing.ACCOUNT, F.col("credit").alias("amount"))
-        return self._append(base, opened, paid)
+        kinds = F.when(F.col("credit") > 0, F.array(F.lit("account"), F.lit("credit"))).otherwise(F.array(F.lit("account")))
+        opened = new.select(F.explode(kinds).alias("kind"), F.col("account_id").alias("id"), *billing.ACCOUNT, "credit")
+        return self._append(base, opened.withColumn("amount", F.when(F.col("kind") == "credit", F.col("credit"))).drop("credit"))
 
     def _account(self, tenant: str, account_id: str, version: int):
         return self._rows("account", version).where((F.col("tenant") == tenant) & (F.col("account_id") == account_id)).head()
@@ -135,8 +135,8 @@ class Ledger:
         usage = self._rows("usage", base).select(F.col("id").alias("event_id"))
         accounts = self.balances(base).withColumnRenamed("balance", "credit")
         plans = self.price_plans(base)
-        ready = billing.bookable(incoming, accounts.select(*billing.ACCOUNT, "credit"), plans, usage)
-        ready = ready.join(accounts.select(*billing.ACCOUNT, "last_hash"), list(billing.ACCOUNT))
+        ready = billing.bookable(incoming, self._rows("account", base).select(*billing.ACCOUNT), plans, usage)
+        ready = ready.join(accounts.select(*billing.ACCOUNT, "credit", "last_hash"), list(billing.ACCOUNT))
         tried = billing.booked_ledger(ready, allow_overdraft=self.allow_overdraft, carry=("unit_price", "plan_id", "unit", "metadata"))
         rows = tried.where("booked")
         if stop_at_error:
@@ -146,14 +146,14 @@ class Ledger:
                 rows = rows.where(F.struct("ts_nanos", "event_id") < F.struct(F.lit(first["ts_nanos"]).alias("ts_nanos"), F.lit(first["event_id"]).alias("event_id")))
         part = self.table.stage(self._full(rows.withColumnsRenamed({"event_id": "id"}).withColumn("kind", F.lit("usage")), base))
         self.table.commit(base, [*self.table.manifest(base)["parts"], part])
-        new = self._rows("usage", base + 1).where(F.col("version") == base + 1).select(F.col("id").alias("event_id"))
-        imported, total = new.count(), incoming.count()
-        skipped = incoming.join(usage.unionByName(new), "event_id", "left_semi").count() - imported
-        if not imported and not skipped:
-            return {"imported": 0, "skipped": 0, "rejected": total}
+        # From here on only what was written is read: the ledger is not booked again to be counted.
+        booked = self._rows("usage", base + 1).select(F.col("id").alias("event_id"), F.when(F.col("version") == base + 1, F.struct("ts_nanos", *billing.ACCOUNT)).alias("booked_at"), F.lit(True).alias("held"))
+        found = incoming.select("event_id", F.struct("ts_nanos", *billing.ACCOUNT).alias("tried_at")).join(booked, "event_id", "left")
         # Attempts of an id before the one that was booked failed; later ones were skipped.
-        earlier = incoming.join(rows.select("event_id", F.struct("ts_nanos", *billing.ACCOUNT).alias("booked_at")), "event_id").where(F.struct("ts_nanos", *billing.ACCOUNT) < F.col("booked_at")).count()
-        return {"imported": imported, "skipped": skipped - earlier, "rejected": total - imported - skipped + earlier}
+        counts = found.agg(F.count("*").alias("total"), F.count("held").alias("held"), F.count_if(F.col("tried_at") < F.col("booked_at")).alias("earlier")).head()
+        imported = self.table.read_parts([part]).count()
+        skipped = counts["held"] - imported - counts["earlier"]
+        return {"imported": imported, "skipped": skipped, "rejected": counts["total"] - imported - skipped}
 
     @staticmethod
     def _timed(events: DataFrame, at: int) -> DataFrame:

@@ -94,7 +94,7 @@ def attempts(events: DataFrame) -> DataFrame:
 
 
 def bookable(events: DataFrame, accounts: DataFrame, plans: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Priced ``attempts`` that may be booked, with the ``credit`` of their account; none whose id ``ledger`` holds.
+    """Priced ``attempts`` that may be booked, with the ``credit`` of their account if ``accounts`` tells it; none whose id ``ledger`` holds.
 
     Rows without account, price or a cost that a long can hold fail before
     ids are compared, as they leave no trace.
@@ -102,7 +102,8 @@ def bookable(events: DataFrame, accounts: DataFrame, plans: DataFrame, ledger: D
     rows = events.where(valid(events))
     if ledger is not None:
         rows = rows.join(ledger.select("event_id"), "event_id", "left_anti")
-    return attempts(priced(rows.join(accounts.select(*ACCOUNT, "credit"), list(ACCOUNT)), plans).where("cost is not null"))
+    known = accounts.select(*ACCOUNT, *(c for c in ("credit",) if c in accounts.columns))
+    return attempts(priced(rows.join(known, list(ACCOUNT)), plans).where("cost is not null"))
 
 
 def balances(bookings: DataFrame, accounts: DataFrame) -> DataFrame:
